@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import components
+from tessera.llm import components, percentiles
+from tessera.session import materialise
 from tessera.sources.tables import table
 
 
@@ -17,13 +18,37 @@ def p7_sizes(spark: SparkSession, d: str) -> DataFrame:
     return components.group_sizes(components.components(table(spark, d, "pairs")))
 
 
-QUERIES = {"p7_found": p7_found, "p7_sizes": p7_sizes}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    keys = ["package", "metric"]
+    values = materialise(percentiles.measured(table(spark, d, "function_metrics")).drop("day"), "measured")
+    sketches = percentiles.merge(percentiles.build(values, keys), keys)
+    said = table(spark, d, "package_risk").select("package", F.expr("stack(2, 'p90_cyclomatic', cast(p90_cyclomatic as double), 'p90_risk', p90_risk) AS (metric, published)"))
+    shares = materialise(percentiles.shares_at(sketches.join(said.where("published IS NOT NULL").distinct(), keys), keys, "published"), "shares")
+    return percentiles.suspicious(shares, values, keys, "published").distinct()
+
+
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Median and others per package and metric, combined from one sketch per measuring day."""
+    keys = ["package", "metric"]
+    daily = percentiles.merge(percentiles.build(percentiles.measured(table(spark, d, "function_metrics")), [*keys, "day"]), [*keys, "day"])
+    return percentiles.quantiles(percentiles.merge(daily, keys), keys, [0.5, 0.9, 0.99])
+
+
+QUERIES = {"p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sizes": p7_sizes}
 
 _GROUPS = """RECURSIVE e AS (SELECT a, b FROM pairs WHERE a <> b UNION SELECT b, a FROM pairs WHERE a <> b),
     r AS (SELECT a AS v, a AS g FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.v AND r.g < e.b),
     groups_ AS (SELECT v AS function_id, min(g) AS group_id FROM r GROUP BY v)"""
 
+_MEASURED = """once AS (SELECT max(struct_pack(l := loaded_at, p := package, c := cyclomatic, k := risk)) AS r FROM function_metrics GROUP BY function_id, measured_at),
+    v AS (SELECT r.p AS package, 'p90_cyclomatic' AS metric, CAST(r.c AS DOUBLE) AS value FROM once WHERE r.c <> -1
+          UNION ALL SELECT r.p, 'p90_risk', r.k FROM once WHERE r.k IS NOT NULL)"""
+
 ORACLE = {
+    "p4_found": f"""WITH {_MEASURED}, s AS (SELECT package, 'p90_cyclomatic' AS metric, CAST(p90_cyclomatic AS DOUBLE) AS x FROM package_risk
+        UNION SELECT package, 'p90_risk', p90_risk FROM package_risk)
+        SELECT package, metric FROM v JOIN s USING (package, metric) WHERE x IS NOT NULL GROUP BY package, metric
+        HAVING 100 * count(*) FILTER (WHERE value < x) > 95 * count(*) OR 100 * count(*) FILTER (WHERE value <= x) < 85 * count(*)""",
     "p7_found": f"WITH {_GROUPS} SELECT function_id, group_id FROM groups_",
     "p7_sizes": f"WITH {_GROUPS}, n AS (SELECT group_id, count(*) AS members FROM groups_ GROUP BY 1) SELECT members, count(*) AS groups FROM n GROUP BY 1",
 }
