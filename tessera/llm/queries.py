@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import components, percentiles
+from tessera.llm import components, near_duplicates, percentiles
 from tessera.session import materialise
 from tessera.sources.tables import table
 
@@ -18,6 +18,25 @@ def p7_sizes(spark: SparkSession, d: str) -> DataFrame:
     return components.group_sizes(components.components(table(spark, d, "pairs")))
 
 
+#: Threshold and shingle size of the match score of function bodies, as the data's description states them.
+BODY_SCORE, BODY_SHINGLE = 0.7, 3
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    member, links = near_duplicates.near_duplicate_classes(table(spark, d, "prints"), "print_id", "body", BODY_SCORE, BODY_SHINGLE)
+    return near_duplicates.all_pairs(member, links, "print_id").select("print_id_a", "print_id_b")
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per function body: its class of equal bodies, its group over all links, and its class's number of links."""
+    member, links = near_duplicates.near_duplicate_classes(table(spark, d, "prints"), "print_id", "body", BODY_SCORE, BODY_SHINGLE)
+    links = materialise(links, "links")
+    group = components.components(links).withColumnRenamed("v", "cls")
+    ends = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
+    rows = member.join(group, "cls", "left").join(ends, "cls", "left")
+    return rows.select("print_id", "cls", F.coalesce("group_id", "cls").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     keys = ["package", "metric"]
     values = materialise(percentiles.measured(table(spark, d, "function_metrics")).drop("day"), "measured")
@@ -34,7 +53,7 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.quantiles(percentiles.merge(daily, keys), keys, [0.5, 0.9, 0.99])
 
 
-QUERIES = {"p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sizes": p7_sizes}
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sizes": p7_sizes}
 
 _GROUPS = """RECURSIVE e AS (SELECT a, b FROM pairs WHERE a <> b UNION SELECT b, a FROM pairs WHERE a <> b),
     r AS (SELECT a AS v, a AS g FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.v AND r.g < e.b),
@@ -44,7 +63,19 @@ _MEASURED = """once AS (SELECT max(struct_pack(l := loaded_at, p := package, c :
     v AS (SELECT r.p AS package, 'p90_cyclomatic' AS metric, CAST(r.c AS DOUBLE) AS value FROM once WHERE r.c <> -1
           UNION ALL SELECT r.p, 'p90_risk', r.k FROM once WHERE r.k IS NOT NULL)"""
 
+_BODIES = r"""once AS (SELECT print_id, min(body) AS body FROM prints WHERE body IS NOT NULL GROUP BY 1),
+    hexed AS (SELECT print_id, regexp_replace(body, '0x[0-9a-fA-F]+', 'ADDR', 'g') AS t FROM once),
+    found AS (SELECT print_id, t, regexp_extract_all(t, '(?:var|local)_[0-9]+') AS ms, string_split_regex(t, '(?:var|local)_[0-9]+') AS ps FROM hexed),
+    named AS (SELECT print_id, ps, list_transform(ms, lambda m: 'v' || (list_position(list_filter(ms, lambda x, i: list_position(ms, x) = i), m) - 1)) AS ns FROM found),
+    norm AS (SELECT print_id, trim(regexp_replace(array_to_string(list_transform(ps, lambda p, i: p || coalesce(ns[i], '')), ''), '\s+', ' ', 'g')) AS n FROM named),
+    words AS (SELECT print_id, n, string_split(n, ' ') AS w FROM norm),
+    grams AS (SELECT DISTINCT print_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT print_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+    sizes AS (SELECT print_id, count(*) AS k FROM grams GROUP BY 1),
+    both_ AS (SELECT x.print_id AS a, y.print_id AS b, count(*) AS c FROM grams x JOIN grams y ON x.g = y.g AND x.print_id < y.print_id GROUP BY 1, 2)"""
+
 ORACLE = {
+    "p2_found": f"""WITH {_BODIES} SELECT a AS print_id_a, b AS print_id_b FROM both_ JOIN sizes p ON p.print_id = a JOIN sizes q ON q.print_id = b WHERE c >= 0.7 * (p.k + q.k - c)
+        UNION SELECT x.print_id, y.print_id FROM norm x JOIN norm y ON x.n = y.n AND x.print_id < y.print_id""",
     "p4_found": f"""WITH {_MEASURED}, s AS (SELECT package, 'p90_cyclomatic' AS metric, CAST(p90_cyclomatic AS DOUBLE) AS x FROM package_risk
         UNION SELECT package, 'p90_risk', p90_risk FROM package_risk)
         SELECT package, metric FROM v JOIN s USING (package, metric) WHERE x IS NOT NULL GROUP BY package, metric
