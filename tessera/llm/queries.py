@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import components, near_duplicates, percentiles
+from tessera.llm import components, leakage, near_duplicates, percentiles, reading
 from tessera.session import materialise
 from tessera.sources.tables import table
 
@@ -53,7 +53,22 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.quantiles(percentiles.merge(daily, keys), keys, [0.5, 0.9, 0.99])
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sizes": p7_sizes}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    pages = materialise(reading.page_words(table(spark, d, "documents")), "page-words")
+    items = materialise(leakage.item_words(table(spark, d, "eval_items")), "item-words")
+    return leakage.leaks(pages, items)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per leaked test item: the pages that hold a passage of it, and the longest passage."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("pages"), F.max("longest").alias("longest"), F.max("coverage").alias("coverage"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_items": p8_items, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sizes": p7_sizes}
 
 _GROUPS = """RECURSIVE e AS (SELECT a, b FROM pairs WHERE a <> b UNION SELECT b, a FROM pairs WHERE a <> b),
     r AS (SELECT a AS v, a AS g FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.v AND r.g < e.b),
