@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import components, leakage, near_duplicates, percentiles, reading
+from tessera.llm import components, leakage, mixing, near_duplicates, percentiles, reading
 from tessera.session import materialise
 from tessera.sources.tables import table
 
@@ -68,7 +68,27 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("pages"), F.max("longest").alias("longest"), F.max("coverage").alias("coverage"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_items": p8_items, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sizes": p7_sizes}
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sizes = materialise(mixing.token_counts(table(spark, d, "documents")), "token-counts")
+    planned = mixing.plan(sizes, table(spark, d, "mix_targets"))
+    return planned, mixing.replicate(sizes, planned)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    planned, _ = _mix(spark, d)
+    return planned.where("NOT reachable").select("source").distinct()
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    planned, copies = _mix(spark, d)
+    return mixing.shares(copies, planned)
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_mix(spark, d)[1])
+
+
+QUERIES = {"p9_found": p9_found, "p9_shares": p9_shares, "p9_mix": p9_mix, "p8_found": p8_found, "p8_items": p8_items, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sizes": p7_sizes}
 
 _GROUPS = """RECURSIVE e AS (SELECT a, b FROM pairs WHERE a <> b UNION SELECT b, a FROM pairs WHERE a <> b),
     r AS (SELECT a AS v, a AS g FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.v AND r.g < e.b),
