@@ -32,18 +32,22 @@ def normalise_body(body: str) -> str:
 
 
 def normalised(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, norm: one row per key (the least text of it, should a key come with several); NULL texts dropped."""
+    """key, norm, words: one row per key (the least text of it, should a key come with several); NULL texts dropped."""
     once = rows.where(F.col(text).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(text).alias("_t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({key: b[key], "norm": [normalise_body(x) for x in b["_t"]]})
+            norm = [normalise_body(x) for x in b["_t"]]
+            yield pd.DataFrame({key: b[key], "norm": norm, "words": [x.split(" ") for x in norm]})
 
-    return once.mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, norm STRING")
+    return once.mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, norm STRING, words ARRAY<STRING>")
 
 
 def shingles(words: Column, size: int) -> Column:
-    """Distinct hashes of runs of `size` successive words; empty for fewer words."""
+    """Distinct hashes of runs of `size` successive words; empty for fewer words.
+
+    words must be a stored column: an expression would be computed again for every run.
+    """
     runs = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(F.slice(words, i + 1, F.lit(size))))
     return F.when(F.size(words) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
 
@@ -93,9 +97,9 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def classes(norm: DataFrame, key: str) -> DataFrame:
-    """key, norm, cls: equal texts share the class, the least key of them."""
+    """key, words, cls: equal texts share the class, the least key of them."""
     reps = norm.groupBy("norm").agg(F.min(key).alias("cls"))
-    return norm.join(reps, "norm").select(key, "norm", "cls")
+    return norm.join(reps, "norm").select(key, "words", "cls")
 
 
 def near_duplicate_classes(rows: DataFrame, key: str, text: str, threshold: float, size: int) -> tuple[DataFrame, DataFrame]:
@@ -106,7 +110,7 @@ def near_duplicate_classes(rows: DataFrame, key: str, text: str, threshold: floa
     """
     member = materialise(classes(normalised(rows, key, text), key), "classes")
     heads = member.where(F.col(key) == F.col("cls"))
-    sets = heads.select(F.col("cls").alias("id"), shingles(F.split("norm", " "), size).alias("grams"))
+    sets = heads.select(F.col("cls").alias("id"), shingles(F.col("words"), size).alias("grams"))
     return member.select(key, "cls"), similar_sets(sets, threshold)
 
 
