@@ -119,7 +119,7 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     for r in rows:
         have, wanted = r["tokens"] or 0, r["target_share"] * (r["all_tokens"] or 0)
         reachable = bool(r["pages"]) and r["max_repeats"] * have >= wanted
-        rate = min(wanted / have, r["max_repeats"]) if have else 0.0
+        rate = float(min(wanted / have, r["max_repeats"])) if have else 0.0
         out.append((r["source"], r["key"], r["target_share"], r["max_repeats"], have, wanted, rate, reachable, steps(capped_parameter(rate, r["max_repeats"]), r["max_repeats"])))
     return spark.createDataFrame(out, "source STRING, key STRING, target_share DOUBLE, max_repeats INT, tokens BIGINT, wanted DOUBLE, rate DOUBLE, reachable BOOLEAN, steps ARRAY<DOUBLE>")
 
