@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import components, leakage, mixing, near_duplicates, percentiles, reading
+from tessera.llm import components, leakage, mixing, near_duplicates, percentiles, reading, shared_spans
 from tessera.session import materialise
 from tessera.sources.tables import table
 
@@ -88,7 +88,18 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_mix(spark, d)[1])
 
 
-QUERIES = {"p9_found": p9_found, "p9_shares": p9_shares, "p9_mix": p9_mix, "p8_found": p8_found, "p8_items": p8_items, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sizes": p7_sizes}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    member, spans = shared_spans.shared_spans(table(spark, d, "documents"))
+    return shared_spans.pairs(member, spans)
+
+
+def p10_amount(spark: SparkSession, d: str) -> DataFrame:
+    """Per page: its length and how many of its characters stand in a long stretch of another page."""
+    member, spans = shared_spans.shared_spans(table(spark, d, "documents"))
+    return shared_spans.shared_amount(member, materialise(spans, "spans"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_amount": p10_amount, "p9_found": p9_found, "p9_shares": p9_shares, "p9_mix": p9_mix, "p8_found": p8_found, "p8_items": p8_items, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sizes": p7_sizes}
 
 _GROUPS = """RECURSIVE e AS (SELECT a, b FROM pairs WHERE a <> b UNION SELECT b, a FROM pairs WHERE a <> b),
     r AS (SELECT a AS v, a AS g FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.v AND r.g < e.b),

@@ -21,7 +21,7 @@ def test_limits_of_the_rate():
 
 
 def docs(spark, n=3000):
-    rows = [(i, "word " * (5 + i % 7), [" Alpha", "beta ", "GAMMA", None, "delta"][i % 5]) for i in range(n)] + [(n, None, "alpha"), (n + 1, "", "beta"), (n + 2, "x" * 300_000, "other")]
+    rows = [(i, "word " * (5 + i % 7), [" Alpha", "beta ", "GAMMA", None, "delta"][i % 5]) for i in range(n)] + [(n, None, "alpha"), (n + 1, "", "beta"), (n + 2, "x" * 25_000, "other")]
     return spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING").withColumn("tokens", F.lit("clash"))
 
 
