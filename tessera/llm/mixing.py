@@ -110,14 +110,14 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     key = F.lower(F.regexp_replace("source", r"^\s+|\s+$", ""))
     once = targets.where("source IS NOT NULL AND target_share IS NOT NULL").select("source", key.alias("key"), F.col("target_share").cast("double"), F.coalesce("max_repeats", F.lit(1)).cast("int").alias("max_repeats")).distinct()
     per_source = sizes.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pages"))
-    total = per_source.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))
-    met = once.join(per_source.withColumnRenamed("source", "key"), "key", "left").crossJoin(total)  # total is one row
+    all_tokens = per_source.agg(F.sum("tokens").alias("n")).first()["n"] or 0  # one number
+    met = once.join(per_source.withColumnRenamed("source", "key"), "key", "left")
     rows = met.limit(MOST_SOURCES + 1).collect()  # one row per source of the targets, refused beyond a bound
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources in the targets")
     out = []
     for r in rows:
-        have, wanted = r["tokens"] or 0, r["target_share"] * (r["all_tokens"] or 0)
+        have, wanted = r["tokens"] or 0, r["target_share"] * all_tokens
         reachable = bool(r["pages"]) and r["max_repeats"] * have >= wanted
         rate = float(min(wanted / have, r["max_repeats"])) if have else 0.0
         out.append((r["source"], r["key"], r["target_share"], r["max_repeats"], have, wanted, rate, reachable, steps(capped_parameter(rate, r["max_repeats"]), r["max_repeats"])))
@@ -142,7 +142,7 @@ def mix(copies: DataFrame, seed: int = SEED) -> DataFrame:
 def shares(copies: DataFrame, planned: DataFrame) -> DataFrame:
     """source, target_share, rate, reachable, mixed_tokens, actual_share: what the mix really holds."""
     got = copies.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"))
-    total = got.agg(F.sum("mixed_tokens").alias("all_mixed"))
-    met = planned.join(got, "source", "left").crossJoin(total)  # total is one row
+    all_mixed = got.agg(F.sum("mixed_tokens").alias("n")).first()["n"] or 0  # one number
+    met = planned.join(got, "source", "left")
     mixed = F.coalesce("mixed_tokens", F.lit(0))
-    return met.select("source", "target_share", "rate", "reachable", mixed.alias("mixed_tokens"), F.when(F.col("all_mixed") > 0, mixed / F.col("all_mixed")).otherwise(0.0).alias("actual_share"))
+    return met.select("source", "target_share", "rate", "reachable", mixed.alias("mixed_tokens"), (mixed / F.lit(float(max(all_mixed, 1)))).alias("actual_share"))
