@@ -110,7 +110,8 @@ def near_duplicate_classes(rows: DataFrame, key: str, text: str, threshold: floa
     """
     member = materialise(classes(normalised(rows, key, text), key), "classes")
     heads = member.where(F.col(key) == F.col("cls"))
-    sets = heads.select(F.col("cls").alias("id"), shingles(F.col("words"), size).alias("grams"))
+    # counted and ranked in two passes: written once, for hashing the shingles costs more than reading them
+    sets = materialise(heads.select(F.col("cls").alias("id"), shingles(F.col("words"), size).alias("grams")), "shingles")
     return member.select(key, "cls"), similar_sets(sets, threshold)
 
 
