@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import components, leakage, mixing, near_duplicates, percentiles, reading, shared_spans, syntax
+from tessera.llm import components, layout, leakage, mixing, near_duplicates, percentiles, reading, shared_spans, syntax
 from tessera.session import materialise
 from tessera.sources.tables import table
 
@@ -107,7 +107,16 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.rates(materialise(syntax.parsed(table(spark, d, "sources")), "parsed"), table(spark, d, "errors"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_rates": p3_rates, "p10_found": p10_found, "p10_amount": p10_amount, "p9_found": p9_found, "p9_shares": p9_shares, "p9_mix": p9_mix, "p8_found": p8_found, "p8_items": p8_items, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sizes": p7_sizes}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return layout.classified(table(spark, d, "sources")).where(F.size("reasons") > 0).select("path")
+
+
+def p6_detector(spark: SparkSession, d: str) -> DataFrame:
+    """Files by language and reason, and how many of them the project's own detector had marked."""
+    return layout.against_detector(materialise(layout.classified(table(spark, d, "sources")), "classified"), table(spark, d, "files"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_detector": p6_detector, "p3_found": p3_found, "p3_rates": p3_rates, "p10_found": p10_found, "p10_amount": p10_amount, "p9_found": p9_found, "p9_shares": p9_shares, "p9_mix": p9_mix, "p8_found": p8_found, "p8_items": p8_items, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sizes": p7_sizes}
 
 _GROUPS = """RECURSIVE e AS (SELECT a, b FROM pairs WHERE a <> b UNION SELECT b, a FROM pairs WHERE a <> b),
     r AS (SELECT a AS v, a AS g FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.v AND r.g < e.b),
