@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import snapshot_queries
+from tessera.plans import code_queries, graph_queries, snapshot_queries
 
-QUERIES = {**snapshot_queries.QUERIES}
-ORACLE = {**snapshot_queries.ORACLE}
+QUERIES = {**snapshot_queries.QUERIES, **code_queries.Q, **graph_queries.Q}
+ORACLE = {**snapshot_queries.ORACLE, **code_queries.SQL, **graph_queries.SQL}
