@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from tessera.session import work_path
 
 KEYS = ["scope", "file", "kind", "receiver", "name"]
+#: Kind of the row that says a scope was delivered, so that a delivery without rows is known as well.
+DELIVERED = "\x00delivered"
 
 
 class PointerFile:
@@ -84,6 +86,8 @@ class SnapshotIndex:
         name = f"snapshot_index_{uuid.uuid4().hex}"
         hashed = F.xxhash64(*(F.coalesce(F.col(v).cast("string"), F.lit("")) for v in self.values)) if self.values else F.lit(0).cast("bigint")
         rows = delivery.select(*(F.coalesce(F.col(k), F.lit("")).alias(k) for k in KEYS), F.col("version_id").cast("int").alias("version_id"), hashed.alias("vhash"))
+        marks = scopes.select("scope", *(F.lit(DELIVERED if k == "kind" else "").alias(k) for k in KEYS[1:]), F.col("version_id").cast("int").alias("version_id"), F.lit(0).cast("bigint").alias("vhash"))
+        rows = rows.unionByName(marks)
         last = self.current()
         if last is not None:  # scopes that aren't delivered now keep their last snapshot
             rows = rows.unionByName(last.join(scopes.select("scope"), "scope", "left_anti"))
@@ -97,7 +101,7 @@ class SnapshotIndex:
         last = self.current()
         if last is None:
             return new.limit(0).select(*KEYS, "version_id", F.lit("").alias("change"))
-        seen = last.select("scope").distinct()
+        seen = last.where(F.col("kind") == DELIVERED).select("scope")
         both = scopes.select("scope", F.col("version_id").cast("int").alias("at")).join(seen, "scope")  # one row per repository
         on = [F.col(f"n.{k}") == F.col(f"o.{k}") for k in KEYS]
         cond = on[0]
@@ -108,6 +112,11 @@ class SnapshotIndex:
         keyed = met.select(*(F.coalesce(F.col(f"n.{k}"), F.col(f"o.{k}")).alias(k) for k in KEYS), change.alias("change"))
         return keyed.join(both, "scope").select(*KEYS, F.col("at").alias("version_id"), "change")
 
+    def rows(self) -> DataFrame | None:
+        """The keys of the current version."""
+        last = self.current()
+        return None if last is None else last.where(F.col("kind") != DELIVERED)
+
     def swap(self, name: str) -> None:
         self.pointer.swap(name)
 

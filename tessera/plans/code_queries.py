@@ -134,11 +134,14 @@ def complexity_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {R.FUNCTIONS}, v AS (SELECT package, risk, row_number() OVER (PARTITION BY package ORDER BY risk) - 1 AS k, count(*) OVER (PARTITION BY package) AS n FROM f WHERE risk IS NOT NULL)
-  SELECT package, any_value(n) AS n, round(avg(risk), 6) AS average, max(risk) AS greatest, max(CASE WHEN k = (n - 1) * 9 // 10 THEN risk END) AS p90, count(*) FILTER (WHERE risk > 0.6) AS high FROM v GROUP BY 1""")
+  SELECT package, any_value(n) AS n, (CAST(sum(CAST(round(risk * 1000000) AS BIGINT)) AS BIGINT) // count(*)) / 1000000.0::DOUBLE AS average, max(risk) AS greatest, max(CASE WHEN k = (n - 1) * 9 // 10 THEN risk END) AS p90, count(*) FILTER (WHERE risk > 0.6) AS high FROM v GROUP BY 1""")
 def risk_by_package(spark: SparkSession, d: str) -> DataFrame:
     f = R.functions(spark, d).where("risk IS NOT NULL")
-    high = f.groupBy("package").agg(F.sum((F.col("risk") > 0.6).cast("bigint")).alias("high"))
-    return metrics.summary(f, ["package"], "risk").join(high, "package").withColumn("average", F.round("average", 6))
+    # the average goes over whole millionths: a sum of doubles depends on the order of the rows
+    millionths = F.sum(F.round(F.col("risk") * 1_000_000).cast("bigint"))
+    high = f.groupBy("package").agg(F.sum((F.col("risk") > 0.6).cast("bigint")).alias("high"), millionths.alias("_s"), F.count("*").alias("_n"))
+    met = metrics.summary(f, ["package"], "risk").drop("average").join(high, "package")
+    return met.withColumn("average", F.expr("_s div _n") / F.lit(1_000_000.0)).drop("_s", "_n")
 
 
 @query(f"WITH {R.FUNCTIONS} SELECT file, name, start_line, cyclomatic FROM f WHERE cyclomatic >= 0 ORDER BY cyclomatic DESC, file, start_line, name LIMIT 20")
