@@ -303,7 +303,7 @@ class Engine:
     def names(self) -> list[str]:
         return sorted(n[5:] for n in dir(self) if n.startswith("call_"))
 
-    def call(self, name: str, **arguments) -> DataFrame:
-        if name not in self.names():
-            raise KeyError(f"no analysis {name!r}; there are {', '.join(self.names())}")
-        return getattr(self, f"call_{name}")(**arguments)
+    def call(self, analysis: str, /, **arguments) -> DataFrame:
+        if analysis not in self.names():
+            raise KeyError(f"no analysis {analysis!r}; there are {', '.join(self.names())}")
+        return getattr(self, f"call_{analysis}")(**arguments)

@@ -78,8 +78,3 @@ def is_test_file(path: Column | str, language: Column | str | None = None) -> Co
 def quoted_parts(text: Column | str) -> Column:
     """Contents of the quoted strings in a text, escapes kept."""
     return F.regexp_extract_all(col(text), F.lit(r"""["'`]((?:[^"'`\\]|\\.)*)["'`]"""), F.lit(1))
-
-
-def percent_rank_of(values: Column, window, n: Column, single: float) -> Column:
-    """Share of strictly smaller values among the others; `single` where there is no other."""
-    return F.when(n <= 1, F.lit(single)).otherwise(F.percent_rank().over(window))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import percent_rank_of
+from tessera.session import materialise
 
 #: Floor of a factor in a geometric mean, so that one zero doesn't wipe out the others.
 FLOOR = 0.01
@@ -37,15 +37,21 @@ def geometric(*factors: Column) -> Column:
 
 
 def ranked(df: DataFrame, value: str, name: str, single: float) -> DataFrame:
-    """df with the share of rows that have a strictly smaller value, among the others.
+    """df with the share of rows that have a strictly smaller value, among the others; NULL is the smallest.
 
-    The rank comes from the counts of the distinct values, so the one ordered window runs over those, not over the rows.
+    Ranks come from the counts of the distinct values. These are range-partitioned and summed within their partition;
+    what lies in the partitions before, one number each, is added. No task orders more than its own range.
     """
-    counts = df.groupBy(value).agg(F.count("*").alias("_c"))
-    less = Window.orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    table = counts.select(F.col(value).alias("_v"), F.coalesce(F.sum("_c").over(less), F.lit(0)).alias("_less"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
-    share = F.when(F.col("_n") <= 1, F.lit(single)).otherwise(F.col("_less") / F.greatest(F.col("_n") - 1, F.lit(1)))
-    return df.join(table.select("_v", share.alias(name)), df[value].eqNullSafe(F.col("_v"))).drop("_v")
+    counts = df.groupBy(value).agg(F.count("*").alias("_c")).select(F.col(value).alias("_v"), "_c")
+    placed = materialise(counts.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()), "counts")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy()
+    parts = placed.groupBy("_p").agg(F.sum("_c").alias("_s"))  # a row per partition
+    parts = parts.select("_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"), F.sum("_s").over(whole).alias("_n"))
+    less = Window.partitionBy("_p").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.withColumn("_less", F.coalesce(F.sum("_c").over(less), F.lit(0))).join(F.broadcast(parts), "_p")
+    share = F.when(F.col("_n") <= 1, F.lit(single)).otherwise((F.col("_less") + F.col("_before")) / F.greatest(F.col("_n") - 1, F.lit(1)))
+    return df.join(inside.select("_v", share.alias(name)), df[value].eqNullSafe(F.col("_v"))).drop("_v")
 
 
 def hotspots(functions: DataFrame, churn: DataFrame) -> DataFrame:

@@ -21,12 +21,14 @@ def read_events(spark: SparkSession, folder: str, per_batch: int = 32) -> DataFr
 
 
 def sessions(changes: DataFrame, gap: str = "2 seconds", late: str = "10 seconds") -> DataFrame:
-    """start, stop, paths: changes closer than `gap` in event time are one batch; later than `late` they are dropped.
+    """repo, start, stop, paths: changes of a repository closer than `gap` in event time are one batch.
 
-    The paths of a batch are what one quiet period holds; a path counts once.
+    Changes later than `late` are dropped. The paths of a batch are what one quiet period holds; a path counts once. The
+    repository is what stands before the colon of a path, '' without one.
     """
-    once = changes.withWatermark("at", late).groupBy(F.session_window("at", gap)).agg(F.sort_array(F.collect_set("path")).alias("paths"))
-    return once.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "paths")
+    repo = F.regexp_extract("path", "^([^:]*):", 1).alias("repo")
+    once = changes.withWatermark("at", late).groupBy(repo, F.session_window("at", gap)).agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    return once.select("repo", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "paths")
 
 
 def tally(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
