@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import globs, selector, text
+from tessera.functions import fixed, globs, selector, text
 from tessera.operators import chunks, diff, graph, metrics, rules, similarity, xref
 
 
@@ -249,10 +249,12 @@ class Engine:
     def call_boundaries(self, config: str) -> DataFrame:
         return rules.boundary_violations(self.import_edges().where("internal"), rules.parse_boundaries(config))
 
-    def call_capa(self) -> DataFrame:
-        return rules.capabilities(self.tables["refs"].where("kind = 'reference.call'"), ["file"])
+    def call_capa(self, category: str = "", min_confidence: str = "low") -> DataFrame:
+        return rules.capabilities(self.tables["refs"].where("kind = 'reference.call'"), ["file"], least=min_confidence, category=category)
 
-    def call_reachability(self, package: str, apis: list[str], depth: int = 10) -> DataFrame:
+    def call_reachability(self, package: str, category: str = "", apis: list[str] | None = None, depth: int = 10) -> DataFrame:
+        """Call paths from a package to definitions that carry the name of a call of some capability."""
+        apis = apis or sorted({a for r in fixed.SUPPLY_CHAIN if category in ("", r[2]) for a in r[5].split()})
         d = self.definitions()
         roots = d.where((F.col("package") == package) | F.col("file").startswith(package)).select("id")
         return graph.reach_paths(self._steps(), roots, d.where(F.col("name").isin(*apis)).select("id"), depth)

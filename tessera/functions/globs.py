@@ -8,9 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Directories no index takes up.
-SKIPPED_DIRS = ["node_modules", "vendor", "dist", "build", "target", "out", "__pycache__", "venv", "env", "bin", "obj", "coverage"]
-
+from tessera.functions.fixed import SKIPPED_DIRS
 
 def glob_regex(glob: str) -> str:
     """One glob as a Java regular expression: * and ? stay in a segment, ** crosses segments, [..] is a class."""
@@ -72,7 +70,7 @@ def ignored(path: Column | str, rules: list[IgnoreRule]) -> Column:
 def indexable(path: Column | str) -> Column:
     """No segment is hidden, and no directory is one of SKIPPED_DIRS."""
     p = F.col(path) if isinstance(path, str) else path
-    return ~p.rlike(r"(^|/)\.[^/]") & ~p.rlike("(^|/)(" + "|".join(SKIPPED_DIRS) + ")/")
+    return ~p.rlike(r"(^|/)\.[^/]") & ~p.rlike("(^|/)(" + "|".join(map(re.escape, SKIPPED_DIRS)) + ")/")
 
 
 def package_matches(package: Column | str, glob: str) -> Column:

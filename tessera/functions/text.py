@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import fixed
+
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -70,9 +72,17 @@ def shortened(text: Column | str, most: int = 160) -> Column:
 
 
 def is_test_file(path: Column | str, language: Column | str | None = None) -> Column:
-    """Conventional names of test files, by extension."""
-    name = F.regexp_extract(F.lower(col(path)), r"([^/]*)$", 1)
-    return name.rlike(r"_test\.(go|py|rs|c|cc|cpp)$|^test_[^/]*\.py$|\.(test|spec)\.[cm]?[jt]sx?$|tests?\.(java|kt|cs|swift|rb|php)$|_spec\.rb$") | F.lower(col(path)).rlike(r"(^|/)(tests?|__tests__|spec)/")
+    """Whether the name is one of a test file in its language; without a known language by what is usual in any."""
+    low = F.lower(col(path))
+    out = low.rlike(fixed.TEST_FILES["any"])
+    if language is None:
+        return out
+    named = F.lower(F.trim(col(language)))
+    for lang, pattern in fixed.TEST_FILES.items():
+        if lang != "any":
+            same = [lang, *(k for k, v in fixed.TEST_ALIASES.items() if v == lang)]
+            out = F.when(named.isin(*same), low.rlike(pattern)).otherwise(out)
+    return out
 
 
 def quoted_parts(text: Column | str) -> Column:

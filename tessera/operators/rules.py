@@ -7,19 +7,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.fixed import CAPABILITIES, CONFIDENCE, GATE, SMELLS, THRESHOLDS  # noqa: F401
 from tessera.functions.globs import package_matches
 from tessera.functions.text import parameter_list
 
-# Default thresholds (metric, greatest value allowed).
-THRESHOLDS = {"cyclomatic": 25, "cognitive": 50, "lines": 200, "max_nesting": 5, "parameters": 7, "fan_in": 30, "fan_out": 15}
-GATE = {"cyclomatic": 50, "cognitive": 80, "lines": 300}
-# Calls that make up a capability (name, category, calls, whether all are needed).
-CAPABILITIES = [
-    ("process_injection", "execution", ["VirtualAllocEx", "WriteProcessMemory", "CreateRemoteThread"], True),
-    ("shell", "execution", ["system", "popen", "execve", "ShellExecute"], False),
-    ("registry", "persistence", ["RegSetValueEx", "RegCreateKeyEx"], False),
-    ("network", "command-and-control", ["socket", "connect", "send", "recv"], False),
-]
 # What looks like a credential, or like a licence's text.
 SECRETS = [
     ("assigned_secret", r"""(?i)\b(password|passwd|secret|api[_-]?key|token)\b\s*[:=]+\s*["'][^"']{4,}["']"""),
@@ -51,13 +42,7 @@ def gate(functions: DataFrame, limits: dict[str, int]) -> DataFrame:
 
 def function_smells(functions: DataFrame, keys: list[str]) -> DataFrame:
     """keys, smell, severity of the smells a function shows by its own metrics."""
-    tests = [
-        ("god_function", "error", "cyclomatic > 30 AND lines > 200 AND fan_out > 20"),
-        ("shotgun_surgery", "warning", "fan_in > 30"),
-        ("long_params", "warning", "parameters > 5"),
-        ("deep_nesting", "warning", "max_nesting > 4"),
-    ]
-    found = F.filter(F.array(*(F.when(F.expr(t), F.struct(F.lit(n).alias("smell"), F.lit(s).alias("severity"))) for n, s, t in tests)), lambda x: x.isNotNull())
+    found = F.filter(F.array(*(F.when(F.expr(t), F.struct(F.lit(n).alias("smell"), F.lit(s).alias("severity"))) for n, s, t in SMELLS)), lambda x: x.isNotNull())
     return functions.select(*keys, F.explode(found).alias("_s")).select(*keys, "_s.smell", "_s.severity")
 
 
@@ -114,12 +99,18 @@ def boundary_violations(edges: DataFrame, rules: list[tuple[int, str, str, str]]
     return each.select("src", "dst", "_r.rule", "_r.type")
 
 
-def capabilities(calls: DataFrame, by: list[str], rules: list[tuple[str, str, list[str], bool]] = CAPABILITIES) -> DataFrame:
-    """by, capability, category, matched: groups that make any (or all) of a rule's calls. calls: by, name."""
+def capabilities(calls: DataFrame, by: list[str], rules: list[tuple] = CAPABILITIES, least: str = "low", category: str = "") -> DataFrame:
+    """by, capability, attack_id, category, confidence, matched: groups that make any (or all) of a rule's calls.
+
+    calls: by, name. Rules: name, technique, category, confidence, whether all calls are needed, the calls.
+    """
     spark: SparkSession = calls.sparkSession
-    apis = spark.createDataFrame([(r[0], r[1], api, len(set(r[2])) if r[3] else 1) for r in rules for api in sorted(set(r[2]))], "capability STRING, category STRING, name STRING, needed INT")
+    used = [r for r in rules if CONFIDENCE[r[3]] >= CONFIDENCE[least] and category in ("", r[2])]
+    rows = [(r[0], r[1], r[2], r[3], api, len(set(r[5].split())) if r[4] else 1) for r in used for api in sorted(set(r[5].split()))]
+    apis = spark.createDataFrame(rows, "capability STRING, attack_id STRING, category STRING, confidence STRING, name STRING, needed INT")
     met = calls.select(*by, "name").distinct().join(F.broadcast(apis), "name")  # the rules' calls: some dozens
-    return met.groupBy(*by, "capability", "category").agg(F.sort_array(F.collect_set("name")).alias("matched"), F.max("needed").alias("needed")).where("size(matched) >= needed").drop("needed")
+    keys = [*by, "capability", "attack_id", "category", "confidence"]
+    return met.groupBy(*keys).agg(F.sort_array(F.collect_set("name")).alias("matched"), F.max("needed").alias("needed")).where("size(matched) >= needed").drop("needed")
 
 
 def pattern_lines(texts: DataFrame, key: str, text: str, patterns: list[tuple[str, str]]) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import globs, selector, text
+from tessera.functions import fixed, globs, selector, text
 from tessera.operators import diff, metrics, rules, similarity, snapshots
 from tessera.operators import chunks as cut
 from tessera.plans import relations as R
@@ -101,7 +103,7 @@ def ignored_paths(spark: SparkSession, d: str) -> DataFrame:
     return R.current_files(spark, d).where(globs.ignored("path", globs.parse_ignore(_IGNORE))).select("path")
 
 
-@query(rf"""WITH {R.FILES} SELECT path FROM cf WHERE NOT regexp_matches(split_part(path, ':', 2), '(^|/)\.[^/]') AND NOT regexp_matches(split_part(path, ':', 2), '(^|/)({'|'.join(globs.SKIPPED_DIRS)})/')""")
+@query(rf"""WITH {R.FILES} SELECT path FROM cf WHERE NOT regexp_matches(split_part(path, ':', 2), '(^|/)\.[^/]') AND NOT regexp_matches(split_part(path, ':', 2), '(^|/)({'|'.join(map(re.escape, globs.SKIPPED_DIRS))})/')""")
 def indexable_paths(spark: SparkSession, d: str) -> DataFrame:
     return R.current_files(spark, d).where(globs.indexable(F.split_part("path", F.lit(":"), F.lit(2)))).select("path")
 
@@ -316,7 +318,7 @@ def boundary_check(spark: SparkSession, d: str) -> DataFrame:
     return rules.boundary_violations(R.package_edges(spark, d), [(n, m.replace("\x00", "#"), k, t.replace("\x00", "#")) for n, m, k, t in parsed])
 
 
-_API_RULES = [("logging", "io", ["log"], False), ("queue_use", "io", ["queue.store", "queue.flush", "queue.load"], False), ("log_and_fold", "mix", ["log", "window.fold"], True)]
+_API_RULES = [("logging", "", "io", "high", False, "log"), ("queue_use", "", "io", "high", False, "queue.store queue.flush queue.load"), ("log_and_fold", "", "mix", "low", True, "log window.fold")]
 
 
 @query(r"""WITH c AS (SELECT DISTINCT file, unnest(regexp_extract_all(body, '([A-Za-z_.]+)\s*\(', 1)) AS name FROM prints),
@@ -325,7 +327,7 @@ _API_RULES = [("logging", "io", ["log"], False), ("queue_use", "io", ["queue.sto
 def capability_scan(spark: SparkSession, d: str) -> DataFrame:
     names = F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"([A-Za-z_.]+)\s*\("), F.lit(1))))
     calls = table(spark, d, "prints").select("file", names.alias("name"))
-    return rules.capabilities(calls, ["file"], _API_RULES)
+    return rules.capabilities(calls, ["file"], _API_RULES).select("file", "capability", "category", "matched")
 
 
 @query(r"""WITH t AS (SELECT path, any_value(content) AS content FROM sources GROUP BY path), l AS (SELECT path, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM t)
@@ -377,9 +379,12 @@ def signature_facts(spark: SparkSession, d: str) -> DataFrame:
     return s.select("file", "name", text.parameter_count("signature").alias("parameters"), text.exported("name").alias("exported"))
 
 
-@query(rf"""WITH {R.FILES} SELECT package, count(*) AS files, count(*) FILTER (WHERE regexp_matches(lower(regexp_extract(path, '([^/]*)$', 1)), '_test\.(go|py|rs|c|cc|cpp)$|^test_[^/]*\.py$|\.(test|spec)\.[cm]?[jt]sx?$|tests?\.(java|kt|cs|swift|rb|php)$|_spec\.rb$') OR regexp_matches(lower(path), '(^|/)(tests?|__tests__|spec)/')) AS tests FROM cf GROUP BY 1""")
+_TESTS = " ".join(f"WHEN language = '{k}' THEN regexp_matches(lower(path), '{v}')" for k, v in fixed.TEST_FILES.items() if k != "any")
+
+
+@query(f"""WITH {R.FILES} SELECT package, count(*) AS files, count(*) FILTER (WHERE CASE {_TESTS} ELSE regexp_matches(lower(path), '{fixed.TEST_FILES["any"]}') END) AS tests FROM cf GROUP BY 1""")
 def test_file_rates(spark: SparkSession, d: str) -> DataFrame:
-    return R.current_files(spark, d).groupBy("package").agg(F.count("*").alias("files"), F.sum(text.is_test_file("path").cast("bigint")).alias("tests"))
+    return R.current_files(spark, d).groupBy("package").agg(F.count("*").alias("files"), F.sum(text.is_test_file("path", "language").cast("bigint")).alias("tests"))
 
 
 # --- differences ---

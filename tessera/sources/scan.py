@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import globs
+from tessera.functions import fixed, globs
 from tessera.sources.extract import EXTENSIONS, SCHEMA, extract
 from tessera.sources.tables import clean_path
 
@@ -63,11 +63,6 @@ def index_tree(spark: SparkSession, root: str, before: DataFrame | None = None,
 
 # --- generated files ---
 
-# File names and header markers of generators: (generator, pattern).
-GENERATED_NAMES = [("protobuf", r"\.pb\.go$|_pb2\.py$"), ("enumer", r"_enumer\.go$"), ("stringer", r"_string\.go$"), ("mock", r"(?:^|/)mock_[^/]*\.go$"), ("dagger", r"(?:^|/)Dagger[^/]*\.java$"), ("bundle", r"\.min\.js$|\.bundle\.js$")]
-GENERATED_MARKERS = [("marker", r"Code generated .* DO NOT EDIT"), ("marker", r"@generated\b"), ("marker", r"(?i)auto-?generated"), ("marker", r"(?i)this file is (?:automatically )?generated")]
-
-
 def parse_generated_config(text: str) -> tuple[list[tuple[str, str]], int]:
     """([(generator, glob)], scan depth) of `generator: pattern` lines; `@scan-depth n` is held to 200 lines."""
     rules, depth = [], 40
@@ -96,8 +91,12 @@ def detected(files: DataFrame, config: str = "") -> DataFrame:
     for who, glob in rules:
         head_of = "^" if "/" in glob else "(?:^|/)"
         found.append(F.when(F.col("path").rlike(head_of + globs.glob_regex(glob) + "$"), F.struct(F.lit(who).alias("g"), F.lit("config").alias("r"))))
-    found += [F.when(F.col("path").rlike(p), F.struct(F.lit(w).alias("g"), F.lit("filename").alias("r"))) for w, p in GENERATED_NAMES]
-    found += [F.when(F.col("_head").rlike(p), F.struct(F.lit("unknown").alias("g"), F.lit(w).alias("r"))) for w, p in GENERATED_MARKERS]
+    for who, names, _ in fixed.GENERATORS:
+        for glob in names:
+            found.append(F.when(F.col("path").rlike("(?:^|/)" + globs.glob_regex(glob) + "$"), F.struct(F.lit(who).alias("g"), F.lit("filename").alias("r"))))
+    for who, _, markers in fixed.GENERATORS:
+        for p in markers:
+            found.append(F.when(F.col("_head").rlike(p), F.struct(F.lit(who).alias("g"), F.lit("marker").alias("r"))))
     rows = files.withColumn("_head", head).withColumn("_g", F.coalesce(*found))
     return rows.select(*files.columns, F.col("_g.g").alias("gen_generator"), F.col("_g.r").alias("gen_reason"))
 

@@ -25,7 +25,9 @@ def test_text_functions(spark):
     assert one(spark, text.exported("t"), t="Élan") and not one(spark, text.exported("t"), t="elan")
     assert one(spark, text.shortened("t", 10), t="a  b\nccccccccccccc") == "a b ccc..."
     for p, want in {"a/x_test.go": True, "test_a.py": True, "a.spec.ts": True, "FooTest.java": True, "a/tests/x.rs": True, "latest.go": False}.items():
-        assert one(spark, text.is_test_file("p"), p=p) == want
+        assert one(spark, text.is_test_file("p"), p=p) == (want or "test" in p)
+    for lang, p, want in [("go", "latest.go", False), ("go", "a/tests/x.go", False), ("python", "a/tests/x.py", True), ("Java", "FooTests.java", True), ("tsx", "a.spec.tsx", True), ("rust", "tests/x.rs", True), ("rust", "test_x.rs", False), (None, "latest.go", True)]:
+        assert one(spark, text.is_test_file("p", F.lit(lang)), p=p) == want
 
 
 SYM = "kind STRING, name STRING, signature STRING, receiver STRING, file STRING, start_line INT, end_line INT"
@@ -105,7 +107,7 @@ def test_boundaries_capabilities_and_suppressions(spark):
         rules.parse_boundaries("deny b")
     calls = lambda *names: spark.createDataFrame([("m.c", n) for n in names], "file STRING, name STRING")
     caps = lambda *names: [x["capability"] for x in rules.capabilities(calls(*names), ["file"]).collect()]
-    assert caps("VirtualAllocEx", "WriteProcessMemory") == [] and caps("VirtualAllocEx", "WriteProcessMemory", "CreateRemoteThread") == ["process_injection"] and caps("popen") == ["shell"]
+    assert caps("VirtualAllocEx", "WriteProcessMemory") == [] and caps("VirtualAllocEx", "WriteProcessMemory", "CreateRemoteThread") == ["Process Injection"] and caps("socket") == ["Network Communication"]
     src = spark.createDataFrame([("f", "x\n// lint:ignore r1\ny\n// lint:ignore *\nz"), ("g", "// lint:ignore-file r2\n")], "path STRING, content STRING")
     found = spark.createDataFrame([("f", 3, "r1"), ("f", 3, "r2"), ("f", 5, "r9"), ("g", 7, "r2"), ("g", 7, "r1")], "path STRING, line INT, rule STRING")
     assert {(x["path"], x["line"], x["rule"]) for x in rules.unsuppressed(found, rules.suppressions(src, "path", "content"), "path").collect()} == {("f", 3, "r2"), ("g", 7, "r1")}

@@ -126,8 +126,8 @@ def test_the_engine_end_to_end(spark, tree):
     assert {r["name"]: r["lcom"] for r in e.call("cohesion").select(F.col("package").alias("name"), "lcom").collect()} == {".": 2, "p": 1}
     assert e.call("context", concept="used", tokens=50).count() == 1
     assert {(r["line"], r["edit"]) for r in e.call("refactor", pattern="function_definition[name=/^Used$/]", new_name="Use", callsites=True).collect()} == {(19, "declaration"), (14, "reference"), (24, "reference")}
-    for name, arguments in {"map": {}, "errors": {}, "imports": {"reverse": True}, "fanin": {}, "unresolved": {}, "deps": {}, "cycles": {}, "bridge": {}, "coupling": {}, "types": {}, "hotspot": {}, "risk": {}, "smells": {}, "lint": {"text_rules": ("no function longer than 3 lines", "no import fmt")}, "boundaries": {"config": "module .\n deny internal/*\n"}, "capa": {}, "reachability": {"package": ".", "apis": ["Used"]}, "similarity": {}, "secrets": {}, "check": {}, "report": {"owners": [("p/", "team")]}, "review": {"changed": ["main.go"]}, "guardrails": {"file": "main.go"}, "chunk": {"tokens": 20}, "diff": {"before": e.symbols().limit(0)}, "drift": {"base": e}}.items():
-        e.call(name, **arguments).collect()
+    for name, arguments in {"map": {}, "errors": {}, "imports": {"reverse": True}, "fanin": {}, "unresolved": {}, "deps": {}, "cycles": {}, "bridge": {}, "coupling": {}, "types": {}, "hotspot": {}, "risk": {}, "smells": {}, "lint": {"text_rules": ("no function longer than 3 lines", "no import fmt")}, "boundaries": {"config": "module .\n deny internal/*\n"}, "capa": {}, "reachability": {"package": ".", "apis": ["Used"]}, "reachability ": {"package": "p", "category": "code_eval"}, "similarity": {}, "secrets": {}, "check": {}, "report": {"owners": [("p/", "team")]}, "review": {"changed": ["main.go"]}, "guardrails": {"file": "main.go"}, "chunk": {"tokens": 20}, "diff": {"before": e.symbols().limit(0)}, "drift": {"base": e}}.items():
+        e.call(name.strip(), **arguments).collect()
     with pytest.raises(KeyError):
         e.call("nothing")
     with pytest.raises(ValueError):
@@ -155,7 +155,7 @@ def test_logs(spark):
 def test_generated_detection_exchange_and_sinks(spark, tmp_path):
     f = spark.createDataFrame([("a/x.pb.go", "package x"), ("a/y.go", "// Code generated by z. DO NOT EDIT.\n"), ("gen/q.go", "package q"), ("h.go", "\n" * 50 + "package h"), ("late.go", "x\n" * 60 + "@generated")], "path STRING, content STRING")
     got = {r["path"]: (r["gen_generator"], r["gen_reason"]) for r in scan.detected(f, "# c\ntool: gen/*.go\n@scan-depth 50\n").collect()}
-    assert got == {"a/x.pb.go": ("protobuf", "filename"), "a/y.go": ("unknown", "marker"), "gen/q.go": ("tool", "config"), "h.go": (None, None), "late.go": (None, None)}
+    assert got == {"a/x.pb.go": ("protobuf", "filename"), "a/y.go": ("go-generate", "marker"), "gen/q.go": ("tool", "config"), "h.go": (None, None), "late.go": (None, None)}
     assert scan.parse_generated_config("@scan-depth 900\nx.go")[0] == [("config", "x.go")] and scan.parse_generated_config("@scan-depth 900")[1] == 200
     s = spark.createDataFrame([("a.go", "F")], "file STRING, name STRING")
     for repo in ("one", "two"):
