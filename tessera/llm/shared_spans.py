@@ -163,8 +163,10 @@ def shared(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     parts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     edges = edges_of(texts, length).repartition(parts, "edge")
-    # both readers of the exchange see the edges clustered by hash: counting and joining back need no other shuffle
-    repeated = edges.groupBy("edge").agg(F.min("id").alias("i0"), F.max("id").alias("i1")).where("i0 < i1").select("edge")
+    # both readers of the exchange see the edges clustered by hash: counting and joining back need no other shuffle. The
+    # counting side takes all columns too, for an exchange is reused only where both sides ask for the same ones
+    counted = edges.groupBy("edge").agg(F.min("id").alias("i0"), F.max("id").alias("i1"), F.min("seq").alias("s0"), F.min("start").alias("p0"))
+    repeated = counted.where("i0 < i1 AND s0 >= 0 AND p0 >= 0").select("edge")
     occurrences = materialise(edges.join(repeated, "edge"), "repeated-edges")
     paths = materialise(compact(occurrences), "paths")
     x = paths.select("path", F.col("id").alias("a"), F.col("start").alias("pa"))
