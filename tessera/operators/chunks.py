@@ -33,3 +33,37 @@ def snippet_lines(start: int | None, end: int | None, line: int, total: int, aro
     if start is not None and end is not None and start <= line <= end:
         return max(1, start), min(total, end)
     return max(1, line - around), min(total, line + around)
+
+
+def symbol_chunks(texts: DataFrame, symbols: DataFrame, budget: int) -> DataFrame:
+    """path, kind, name, start_line, end_line, tokens, body: one chunk per symbol, the header before the first one, and
+    the whole file where it has none.
+
+    A chunk above the budget loses trailing lines until it fits, at least one line stays, and a line that is too long
+    alone is cut to four characters a token (on characters, so no letter is split). Blank headers are left out.
+    """
+    spans = symbols.select(F.col("file").alias("path"), "kind", "name", "start_line", "end_line")
+    first = spans.groupBy("path").agg(F.min("start_line").alias("_first"))
+    rest = texts.where("content IS NOT NULL").select("path", "content").join(first, "path", "left").withColumn("_n", F.size(F.split("content", "\n", -1)))
+    head = rest.where("_first > 1").select("path", F.lit("file_header").alias("kind"), F.lit("").alias("name"), F.lit(1).alias("start_line"), (F.col("_first") - 1).alias("end_line"), "content")
+    whole = rest.where("_first IS NULL").select("path", F.lit("file").alias("kind"), F.lit("").alias("name"), F.lit(1).alias("start_line"), F.col("_n").alias("end_line"), "content")
+    own = spans.join(texts.where("content IS NOT NULL").select("path", "content"), "path").select("path", "kind", "name", "start_line", "end_line", "content")
+    rows = own.unionByName(head).unionByName(whole).withColumn("_l", F.slice(F.split("content", "\n", -1), F.greatest("start_line", F.lit(1)), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(1))))
+    # bytes of each prefix of whole lines; trailing white space doesn't count, so prefixes are measured by their text
+    fits = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_l"), F.lit(1))), lambda k: token_estimate(F.array_join(F.slice("_l", F.lit(1), k), "\n")) <= budget)
+    quick = token_estimate(F.array_join("_l", "\n")) <= budget
+    kept = rows.withColumn("_k", F.when(quick, F.size("_l")).otherwise(F.greatest(F.coalesce(F.array_max(fits), F.lit(1)), F.lit(1))))
+    body = F.array_join(F.slice("_l", F.lit(1), F.col("_k")), "\n")
+    cut = kept.withColumn("_b", body).withColumn("body", F.when(token_estimate("_b") > budget, F.substring("_b", 1, budget * 4)).otherwise(F.col("_b")))
+    out = cut.select("path", "kind", "name", "start_line", (F.col("start_line") + F.col("_k") - 1).alias("end_line"), token_estimate("body").alias("tokens"), "body")
+    return out.where("kind <> 'file_header' OR tokens > 0")
+
+
+def related(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """id, dist, score of what roots call, near and often called first: edge counts plus closeness, summed per node."""
+    from tessera.operators.graph import distances
+
+    near = distances(edges, roots, depth)
+    met = edges.join(near.select(F.col("id").alias("src"), F.col("dist").alias("_d")), "src").where(F.col("_d") < depth)
+    score = met.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("count") + depth - F.col("_d") - 1).alias("score"))
+    return near.where("dist > 0").join(score, "id").select("id", "dist", "score")

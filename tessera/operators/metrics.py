@@ -129,3 +129,30 @@ def packed(items: DataFrame, by: list[str], order: list[str], cost: str, budget:
     """The longest prefix of each group, in order, whose costs (not below 0) stay within the budget."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return items.withColumn("used", F.sum(cost).over(w)).where(F.col("used") <= budget)
+
+
+def component_metrics(files: DataFrame, imports: DataFrame) -> DataFrame:
+    """component, packages, files, internal_imports, external_imports (distinct per file).
+
+    files: path, package, component; imports: file, import, internal.
+    """
+    base = files.groupBy("component").agg(F.countDistinct("package").alias("packages"), F.countDistinct("path").alias("files"))
+    per = imports.select("file", "import", "internal").distinct().join(files.select(F.col("path").alias("file"), "component").distinct(), "file")
+    tally = per.groupBy("component").agg(F.sum(F.col("internal").cast("bigint")).alias("internal_imports"), F.sum((~F.col("internal")).cast("bigint")).alias("external_imports"))
+    return base.join(tally, "component", "left").na.fill(0, ["internal_imports", "external_imports"])
+
+
+def external_tops(imports: DataFrame, by: str = "component", most: int = 3) -> DataFrame:
+    """by, external, top: imports of other projects, and the most frequent of them. imports: by, import."""
+    counted = imports.groupBy(by, "import").agg(F.count("*").alias("n"))
+    total = counted.groupBy(by).agg(F.sum("n").alias("external"))
+    best = top_per_group(counted, [by], [F.desc("n"), F.asc("import")], most)
+    return total.join(best.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "import"))), lambda x: x["import"]).alias("top")), by)
+
+
+def dependency_report(edges: DataFrame) -> DataFrame:
+    """nodes, edges, internal_edges, external_edges of an import graph (src, dst, internal) in one row."""
+    e = edges.select("src", "dst", "internal").distinct()
+    ends = e.select(F.explode(F.array("src", "dst")).alias("x")).agg(F.countDistinct("x").alias("nodes")).withColumn("_k", F.lit(1))
+    counts = e.agg(F.count("*").alias("edges"), F.coalesce(F.sum(F.col("internal").cast("bigint")), F.lit(0)).alias("internal_edges")).withColumn("_k", F.lit(1))
+    return ends.join(counts, "_k").select("nodes", "edges", "internal_edges", (F.col("edges") - F.col("internal_edges")).alias("external_edges"))

@@ -46,6 +46,46 @@ def function_smells(functions: DataFrame, keys: list[str]) -> DataFrame:
     return functions.select(*keys, F.explode(found).alias("_s")).select(*keys, "_s.smell", "_s.severity")
 
 
+def package_smells(packages: DataFrame) -> DataFrame:
+    """package, smell, severity. packages: package, ce, symbols, lcom."""
+    return packages.where("ce > 15 AND symbols > 50 AND lcom > 3").select("package", F.lit("god_package").alias("smell"), F.lit("error").alias("severity"))
+
+
+def type_smells(types: DataFrame) -> DataFrame:
+    """file, name, smell, severity. types: file, name, method_set_size, fields, interface_width."""
+    god = types.where("method_set_size > 20 AND fields > 15").select("file", "name", F.lit("god_type").alias("smell"), F.lit("error").alias("severity"))
+    wide = types.where("interface_width > 8").select("file", "name", F.lit("wide_interface").alias("smell"), F.lit("warning").alias("severity"))
+    return god.unionByName(wide)
+
+
+def package_rules(packages: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """package, rule, value, threshold: exported_symbols, import_depth, lcom, and instability and distance in percent.
+
+    packages has the metrics as columns; those without a limit are skipped, NULL values pass.
+    """
+    percent = {"instability", "distance"} & set(limits)
+    scaled = packages.select("package", *(F.floor(F.col(m) * 100).cast("bigint").alias(m) if m in percent else F.col(m).cast("bigint").alias(m) for m in limits))
+    limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
+    rows = unpivoted(scaled, list(limits), ["package"]).withColumn("threshold", limit[F.col("metric")].cast("bigint")).where("value > threshold")
+    return rows.select("package", F.concat(F.lit("package/"), "metric").alias("rule"), "value", "threshold")
+
+
+def ignored_by(findings: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """findings (rule, file, name) without those an ignore rule (metric, file, symbol) names; '' or `*` is any.
+
+    A file is named by its path, its base name, a directory above it, or the end of its path.
+    """
+    out = findings
+    for metric, file, symbol in rules:
+        hit = F.lit(True) if metric in ("", "*") else F.col("rule") == metric
+        if file not in ("", "*"):
+            hit = hit & ((F.col("file") == file) | F.col("file").startswith(file.rstrip("/") + "/") | F.col("file").endswith("/" + file))
+        if symbol not in ("", "*"):
+            hit = hit & (F.coalesce("name", F.lit("")) == symbol)
+        out = out.where(~hit)
+    return out
+
+
 def data_clumps(functions: DataFrame, least: int = 3) -> DataFrame:
     """params, members, first_function: parameter lists that at least `least` functions share."""
     rows = functions.select("name", parameter_list("signature").alias("params")).where("params LIKE '%,%'")

@@ -7,10 +7,13 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.api import Engine
 from tessera.functions import fixed, globs, selector, text
 from tessera.operators import diff, metrics, rules, similarity, snapshots
 from tessera.operators import chunks as cut
 from tessera.plans import relations as R
+from tessera.session import materialise
+from tessera.sources import extract, structural
 from tessera.sources.tables import clean_path, table
 
 Q: dict = {}
@@ -260,8 +263,42 @@ def report_summary(spark: SparkSession, d: str) -> DataFrame:
     return files.join(symbols, "_k").join(fs, "_k").select("files", "symbols", "functions", "max_cyclomatic", "avg_cyclomatic", "generated_percent")
 
 
+_COMPONENTS = f"""{R.FILES}, {R.IMPORTS}, ff AS (SELECT path, package, split_part(path, ':', 1) AS component FROM cf)"""
+
+
+@query(f"""WITH {_COMPONENTS}, a AS (SELECT component, count(DISTINCT package) AS packages, count(DISTINCT path) AS files FROM ff GROUP BY 1),
+  b AS (SELECT component, CAST(sum(CAST(starts_with(import, component || '/') AS INT)) AS BIGINT) AS internal_imports, CAST(sum(CAST(NOT starts_with(import, component || '/') AS INT)) AS BIGINT) AS external_imports FROM i JOIN ff ON ff.path = i.file GROUP BY 1)
+  SELECT component, packages, files, coalesce(internal_imports, 0) AS internal_imports, coalesce(external_imports, 0) AS external_imports FROM a LEFT JOIN b USING (component)""")
+def component_metrics(spark: SparkSession, d: str) -> DataFrame:
+    repo = F.split_part("path", F.lit(":"), F.lit(1))
+    f = R.current_files(spark, d).select("path", "package", repo.alias("component"))
+    i = R.current_imports(spark, d).select("file", "import", F.col("import").startswith(F.concat("repo", F.lit("/"))).alias("internal"))
+    return metrics.component_metrics(f, i)
+
+
+@query(f"""WITH {R.IMPORTS}, c AS (SELECT repo AS component, import, count(*) AS n FROM i WHERE NOT starts_with(import, repo || '/') GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY n DESC, import) AS k FROM c)
+  SELECT component, CAST(sum(n) AS BIGINT) AS external, list(import ORDER BY k) FILTER (WHERE k <= 3) AS top FROM r GROUP BY 1""")
+def external_imports(spark: SparkSession, d: str) -> DataFrame:
+    i = R.current_imports(spark, d).where(~F.col("import").startswith(F.concat("repo", F.lit("/"))))
+    return metrics.external_tops(i.select(F.col("repo").alias("component"), "import"))
+
+
+@query(rf"""WITH {R.IMPORTS}, e AS (SELECT DISTINCT regexp_extract(file, '^(.*)/[^/]*$', 1) AS src, import AS dst, starts_with(import, repo || '/') AS internal FROM i)
+  SELECT (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS nodes, count(*) AS edges, CAST(sum(CAST(internal AS INT)) AS BIGINT) AS internal_edges, count(*) - CAST(sum(CAST(internal AS INT)) AS BIGINT) AS external_edges FROM e""")
+def dependency_report(spark: SparkSession, d: str) -> DataFrame:
+    i = R.current_imports(spark, d)
+    return metrics.dependency_report(i.select(text.dirname("file").alias("src"), F.col("import").alias("dst"), F.col("import").startswith(F.concat("repo", F.lit("/"))).alias("internal")))
+
+
 # --- rules ---
 
+
+@query(rf"""WITH {R.SYMBOLS} SELECT regexp_extract(file, '^(.*)/[^/]*$', 1) AS package, 'package/exported_symbols' AS rule, count(*) AS value, CAST(5 AS BIGINT) AS threshold FROM s WHERE regexp_matches(name, '^\p{{Lu}}') GROUP BY 1 HAVING count(*) > 5""")
+def package_rules(spark: SparkSession, d: str) -> DataFrame:
+    p = R.current_symbols(spark, d).where(text.exported("name")).groupBy(text.dirname("file").alias("package")).agg(F.count("*").alias("exported_symbols"))
+    return rules.package_rules(p, {"exported_symbols": 5})
+
+
 _LIMITS = rules.THRESHOLDS
 
 
@@ -387,6 +424,41 @@ def test_file_rates(spark: SparkSession, d: str) -> DataFrame:
     return R.current_files(spark, d).groupBy("package").agg(F.count("*").alias("files"), F.sum(text.is_test_file("path", "language").cast("bigint")).alias("tests"))
 
 
+@query()
+def structural_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Guarded returns in any language of braces, with what is compared and returned."""
+    once = table(spark, d, "sources").groupBy("path").agg(F.max("content").alias("content"))
+    return structural.structural_grep(once, "if $A > $B { return $$$R }", where={"B": r"^\d+$"}).select("path", "line", "captures")
+
+
+@query()
+def tree_matches(spark: SparkSession, d: str) -> DataFrame:
+    once = table(spark, d, "sources").groupBy("path").agg(F.max("content").alias("content"))
+    return structural.tree_query(once, "(Raise exc: (Call func: (Name) @kind) @raised)")
+
+
+@query()
+def extracted_index(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols read from the texts themselves, by language and kind."""
+    found = extract.extracted(table(spark, d, "sources"))
+    return found.select("language", F.explode("symbols").alias("s")).groupBy("language", "s.kind").agg(F.count("*").alias("symbols"), F.sum("s.cyclomatic").alias("cyclomatic"))
+
+
+@query()
+def source_call_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The call graph of the texts: extraction, enclosing spans, tiers, edges."""
+    found = materialise(extract.extracted(table(spark, d, "sources")), "extracted")
+    edges = Engine(spark, extract.index_tables(found)).edges()
+    return edges.groupBy("resolution").agg(F.count("*").alias("edges"), F.sum("count").alias("calls"))
+
+
+@query()
+def symbol_chunks(spark: SparkSession, d: str) -> DataFrame:
+    once = table(spark, d, "sources").groupBy("path").agg(F.max("content").alias("content"))
+    found = materialise(extract.extracted(once), "extracted")
+    return cut.symbol_chunks(once, extract.index_tables(found)["symbols"], 100).select("path", "kind", "name", "start_line", "end_line", "tokens")
+
+
 # --- differences ---
 
 
