@@ -50,12 +50,12 @@ def _distance(a: str, b: str, most: int) -> int:
 
 
 def resembles(a: str, b: str) -> bool:
-    """b may be a misreading of a."""
-    x, y = folded(a), folded(b)
-    if x == y:
-        return True
-    most = max(len(x), len(y)) // 3
-    return most > 0 and _distance(x, y, most) <= most
+    """b may be a misreading of a: a third of the letters at most differ, as they stand or with confusions resolved."""
+    for x, y in ((a, b), (folded(a), folded(b))):
+        most = max(len(x), len(y)) // 3
+        if x == y or most and _distance(x, y, most) <= most:
+            return True
+    return False
 
 
 def _runs(item: list[int], page: list[int], used_i: bytearray, used_p: bytearray, size: int) -> list[tuple[int, int, int]]:
