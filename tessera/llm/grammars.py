@@ -226,7 +226,7 @@ Operator = BIN | '*' | '+' | '-' | '&' | '|' | '<' | '>' | '>=' | '>' '>' [ '>'
 Unary = { '+' | '-' | '!' | '~' | '++' | '--' | Cast } ( Primary { '++' | '--' } | Lambda ) ;
 Cast = '(' Type { '&' Type } ')' ;
 Primary = Start { Selector } ;
-Start = Id | LITERAL | 'this' | 'super' | '(' Expr ')' | New | 'switch' '(' Expr ')' SwitchBody | PRIMITIVE Dims | 'void' | Id TypeArgs { '.' Id [ TypeArgs ] } Dims '::' [ TypeArgs ] ( Id | 'new' ) | Qualified '[' ']' Dims ;
+Start = Id | LITERAL | 'this' | 'super' | '(' Expr ')' | New | 'switch' '(' Expr ')' SwitchBody | PRIMITIVE Dims ( '.' 'class' | '::' [ TypeArgs ] 'new' ) | 'void' '.' 'class' | Id TypeArgs { '.' Id [ TypeArgs ] } Dims '::' [ TypeArgs ] ( Id | 'new' ) | Qualified '[' ']' Dims ( '.' 'class' | '::' [ TypeArgs ] 'new' ) ;
 Selector = '.' ( [ TypeArgs ] Id | 'this' | 'super' | 'class' | New ) | Arguments | '[' Expr ']' | '::' [ TypeArgs ] ( Id | 'new' ) ;
 Arguments = '(' [ Exprs ] ')' ;
 New = 'new' [ TypeArgs ] { Annotation } ( PRIMITIVE | Id [ TypeArgs ] { '.' Id [ TypeArgs ] } ) ( Arguments [ ClassBody ] | '[' Expr ']' { '[' Expr ']' } Dims | '[' ']' Dims ArrayInit ) ;

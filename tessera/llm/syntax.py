@@ -58,7 +58,7 @@ GO = Language(
     ["File", "Classic"],
     _pattern(
         r"(?P<ws>[ \t\r]+)", r"(?P<line>\n)", r"(?P<comment>//[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/)", _ID,
-        r"(?P<NUMBER>0[xX](?:_?[0-9a-fA-F])+(?:\.(?:[0-9a-fA-F](?:_?[0-9a-fA-F])*)?)?(?:[pP][+-]?\d+)?i?(?!\w)|0[bB](?:_?[01])+i?(?!\w)|0[oO](?:_?[0-7])+i?(?!\w)|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?i?(?!\w))",
+        r"(?P<NUMBER>0[xX](?:_?[0-9a-fA-F])+(?:\.(?:[0-9a-fA-F](?:_?[0-9a-fA-F])*)?)?(?:[pP][+-]?\d+)?i?(?!\w)|0[bB](?:_?[01])+i?(?!\w)|0[oO](?:_?[0-7])+i?(?!\w)|(?:\d(?:_?\d)*+\.?+(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?i?(?!\w))",
         r'(?P<STRING>"(?:[^"\\\n]|\\(?:[abfnrtv\\"]|[0-7]{3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}))*"|`[^`]*`)',
         r"(?P<CHAR>'(?:[^'\\\n]|\\(?:[abfnrtv\\']|[0-7]{3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}))')",
         r"(?P<op><<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[-+*/%&|^<>=!()\[\]{},;.:~])",
@@ -111,7 +111,7 @@ PYTHON = Language(
     ["File"],
     _pattern(
         r"(?P<ws>[ \t\f]+)", r"(?P<line>\n)", r"(?P<comment>\#[^\n]*)", r"(?P<join>\\\n)", _PY_STRING, _ID,
-        r"(?P<NUMBER>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*[eE][+-]?\d(?:_?\d)*[jJ]?|\d(?:_?\d)*[jJ]|[1-9](?:_?\d)*|0(?:_?0)*)(?!\w))",
+        r"(?P<NUMBER>(?:0[xX](?:_?[0-9a-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*[eE][+-]?\d(?:_?\d)*[jJ]?|\d(?:_?\d)*[jJ]|(?:[1-9](?:_?\d)*|0(?:_?0)*)(?!\.))(?!\w))",
         r"(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\*\*|//|<<|>>|<=|>=|==|!=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|[-+*/%@&|^~<>()\[\]{},:;.=])",
     ),
     set("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield match case type".split()),
@@ -184,7 +184,7 @@ JAVASCRIPT = Language(
     _pattern(
         r"(?P<ws>[ \t\v\f\u00a0\ufeff\u1680\u2000-\u200a\u202f\u205f\u3000]+)", r"(?P<line>[\r\n\u2028\u2029]+)", r"(?P<comment>//[^\r\n\u2028\u2029]*)", r"(?P<block>/\*[^*]*\*+(?:[^/*][^*]*\*+)*/)",
         r"(?P<NAME>(?:[^\W\d]|[$]|\\u[0-9a-fA-F]{4})(?:\w|[$\u200c\u200d]|\\u[0-9a-fA-F]{4})*)", r"(?P<PRIVATE>\#[^\W\d][\w$]*)",
-        r"(?P<NUMBER>(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[bB][01](?:_?[01])*n?|0[oO][0-7](?:_?[0-7])*n?|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?n?)(?![\w$]))",
+        r"(?P<NUMBER>(?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*n?|0[bB][01](?:_?[01])*n?|0[oO][0-7](?:_?[0-7])*n?|(?:\d(?:_?\d)*+\.?+(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?n?)(?![\w$]))",
         r'(?P<STRING>"(?:[^"\\\r\n]|\\(?:\r\n|[\s\S]))*"|' r"'(?:[^'\\\r\n]|\\(?:\r\n|[\s\S]))*')",
         r"(?P<tick>`)",
         r"(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[-+*/%&|^!~<>=?:,;.()\[\]{}@])",
@@ -296,7 +296,7 @@ JAVA = Language(
     ["Unit", "Modular"],
     _pattern(
         r"(?P<ws>[ \t\r\n\f]+|\x1a\Z)", r"(?P<comment>//[^\r\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/)", r"(?P<NAME>(?:[^\W\d]|\$)(?:\w|\$)*)",
-        r"(?P<number>(?:0[xX](?:[0-9a-fA-F](?:_*[0-9a-fA-F])*\.?|(?:[0-9a-fA-F](?:_*[0-9a-fA-F])*)?\.[0-9a-fA-F](?:_*[0-9a-fA-F])*)[pP][+-]?\d+[fFdD]?|0[xX][0-9a-fA-F](?:_*[0-9a-fA-F])*[lL]?|0[bB][01](?:_*[01])*[lL]?|(?:\d(?:_*\d)*\.(?:\d(?:_*\d)*)?|\.\d(?:_*\d)*)(?:[eE][+-]?\d+)?[fFdD]?|\d(?:_*\d)*(?:[eE][+-]?\d+)?[fFdDlL]?)(?!\w))",
+        r"(?P<number>(?:0[xX](?:[0-9a-fA-F](?:_*[0-9a-fA-F])*\.?|(?:[0-9a-fA-F](?:_*[0-9a-fA-F])*)?\.[0-9a-fA-F](?:_*[0-9a-fA-F])*)[pP][+-]?\d+[fFdD]?|0[xX][0-9a-fA-F](?:_*[0-9a-fA-F])*[lL]?|0[bB][01](?:_*[01])*[lL]?|(?:\d(?:_*\d)*\.(?:\d(?:_*\d)*)?|\.\d(?:_*\d)*)(?:[eE][+-]?\d+)?[fFdD]?|\d(?:_*\d)*(?:[eE][+-]?\d+)?[fFdDlL]?(?!\.))(?!\w))",
         r'(?P<block>"""[ \t\f]*(?:\r\n|\r|\n)(?:[^"\\]|\\(?:.|\n)|"(?!""))*""")',
         r'(?P<string>"(?!"")(?:[^"\\\r\n]|' + _ESC + r')*")', r"(?P<char>'(?:[^'\\\r\n]|\\[0-3]?[0-7]{1,2}|" + _ESC + r")')",
         r"(?P<op>\.\.\.|->|::|\+\+|--|&&|\|\||==|!=|<=|>=|<<=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|[-+*/%&|^!~<>=?:,;.()\[\]{}@])",
