@@ -6,13 +6,18 @@ characters have the least hash). A stretch of `length` characters that two texts
 followed by K = length - WINDOW + 1 characters, so both texts take the same k-mer there: no shared stretch is missed,
 whatever it consists of. Only edges that occur in at least two texts are kept.
 
-Compaction. Successive edges of a text are linked. A link is unbranching if neither edge ever occurs without the other
-(the ways in and out of an edge are counted by Spark aggregations and joined back); maximal unbranching paths are
-compacted, and the first edge names the path, which is the same in every occurrence.
-
-Verification. Compacted paths keep their source coordinates. Two texts that share a path are laid over each other on
-the diagonal of its coordinates, and the common stretch is grown from there character by character. Equal texts take
-part once.
+Refinement. Around the repeated edges the graph is made dense and its k-mers as long as the stretches asked for: every
+window of `length` characters that holds a repeated edge is hashed, and those that occur in two texts are kept. From
+these alone follows how much of each text is shared, without any pair of texts (`shared_amount`).
+
+Compaction. Successive windows of a text are linked. A link is unbranching if neither window ever occurs without the
+other (the ways in and out of a window are counted by Spark aggregations and joined back); maximal unbranching paths are
+compacted, and the first window names the path, which is the same in every occurrence.
+
+Verification. Compacted paths keep their source coordinates. Two texts that share a path share a stretch that is long
+enough, so the pairs laid out are those of the result and not more: a shorter passage that very many texts hold costs
+its windows, not its pairs. Pairs are laid over each other on the diagonals of their paths and the common stretch is
+grown character by character. Equal texts take part once.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ from tessera.session import materialise
 LENGTH = 200
 GRAM, WINDOW = 8, 64
 _M = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def geometry(length: int) -> tuple[int, int, int]:
@@ -46,6 +52,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _hashes(value: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k values from each start: polynomial prefix sums, brought to a common start by the factor's inverse."""
+    with np.errstate(over="ignore"):
+        powers = np.full(len(value) + 1, _M)
+        powers[0] = 1
+        powers = np.multiply.accumulate(powers)
+        back = np.full(len(value) + 1, _INVERSE)
+        back[0] = 1
+        back = np.multiply.accumulate(back)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * powers[:-1], dtype=np.uint64)])
+        return _mix((sums[starts + k] - sums[starts]) * back[starts])
+
+
+def _values(chars: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mix(chars.astype(np.uint64) + _M)
+
+
+def windows_at(chars: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows of `length` characters that hold the k-mer at one of `starts`."""
+    _, window, _ = geometry(length)
+    mark = np.zeros(len(chars) + 2, np.int32)
+    np.add.at(mark, np.maximum(starts - window + 1, 0), 1)
+    np.add.at(mark, starts + 1, -1)
+    at = np.flatnonzero(np.cumsum(mark)[: max(0, len(chars) - length + 1)] > 0)
+    return at, _hashes(_values(chars), at, length)
+
+
 def edges_at_cuts(chars: np.ndarray, gram: int, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """chars: code points. Minimiser positions that k characters follow, and the hashes of these."""
     n = len(chars)
@@ -53,7 +87,7 @@ def edges_at_cuts(chars: np.ndarray, gram: int, window: int, k: int) -> tuple[np
     if grams < window:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        value = _mix(chars.astype(np.uint64) + _M)
+        value = _values(chars)
         h = np.zeros(grams, np.uint64)
         for j in range(gram):
             h = h * _M + value[j : j + grams]
@@ -68,16 +102,7 @@ def edges_at_cuts(chars: np.ndarray, gram: int, window: int, k: int) -> tuple[np
         at = (np.uint64(0xFFFFFFFF) - (least & np.uint64(0xFFFFFFFF))).astype(np.int64)
         cuts = at[np.concatenate([[True], at[1:] != at[:-1]])]
         cuts = cuts[cuts + k <= n]
-        # hash of text[i:j]: polynomial prefix sums with the odd factor's powers, brought to a common start
-        powers = np.full(n + 1, _M)
-        powers[0] = 1
-        powers = np.multiply.accumulate(powers)
-        inverse = np.uint64(pow(int(_M), -1, 1 << 64))
-        back = np.full(n + 1, inverse)
-        back[0] = 1
-        back = np.multiply.accumulate(back)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * powers[:n], dtype=np.uint64)])
-        edges = _mix((sums[cuts + k] - sums[cuts]) * back[cuts])
+    edges = _hashes(value, cuts, k)
     return cuts, edges
 
 
@@ -102,9 +127,9 @@ def edges_of(texts: DataFrame, length: int) -> DataFrame:
 
 
 def compact(occurrences: DataFrame) -> DataFrame:
-    """id, path, start: occurrences of maximal unbranching paths of repeated edges.
+    """id, path, start: occurrences of maximal unbranching paths of repeated windows or edges.
 
-    occurrences: id, seq, edge, start of repeated edges. A gap in seq ends a path.
+    occurrences: id, seq, edge, start. A gap in seq ends a path.
     """
     by_text = Window.partitionBy("id").orderBy("seq")
     near = occurrences.withColumn("next", F.when(F.lead("seq").over(by_text) == F.col("seq") + 1, F.lead("edge").over(by_text)))
@@ -156,19 +181,51 @@ def _common(same, most: int) -> int:
     return most
 
 
-def shared(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+def _repeated(rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose key occurs with two ids or more. rows: id, key and whole numbers from 0 up.
+
+    Both readers of the exchange see the rows clustered by key: counting and joining back need no other shuffle. The
+    counting side asks for all columns too, for an exchange is reused only where both sides ask for the same ones.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = rows.repartition(parts, key)
+    rest = [c for c in rows.columns if c not in ("id", key)]
+    counted = placed.groupBy(key).agg(F.min("id").alias("i0"), F.max("id").alias("i1"), *(F.min(c).alias(f"_{c}") for c in rest))
+    cond = F.col("i0") < F.col("i1")
+    for c in rest:
+        cond = cond & (F.col(f"_{c}") >= 0)
+    return placed.join(counted.where(cond).select(key), key)
+
+
+def shared_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """id, start, edge: the windows of `length` characters that stand in another text too, with their hashes.
+
+    texts: id bigint (unique), text (no two equal, not NULL).
+    """
+    occurrences = materialise(_repeated(edges_of(texts, length), "edge"), "repeated-edges")
+    starts = occurrences.groupBy("id").agg(F.collect_list("start").alias("starts"))  # no more than a text has cuts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, at, hashes = [], [], []
+            for i, t, p in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("starts").to_pylist()):
+                w, h = windows_at(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), np.array(p, np.int64), length)
+                ids.append(np.full(len(w), i, np.int64))
+                at.append(w.astype(np.int32))
+                hashes.append(h.view(np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, at, hashes)], ["id", "start", "edge"])
+
+    windows = texts.join(starts, "id").select("id", "text", "starts").mapInArrow(run, "id BIGINT, start INT, edge BIGINT")
+    return materialise(_repeated(windows, "edge"), "shared-windows")
+
+
+def shared(texts: DataFrame, windows: DataFrame, length: int = LENGTH) -> DataFrame:
     """a, b, start_a, start_b, n: common stretches of at least `length` characters of different texts (a < b).
 
-    texts: id bigint (unique), text (no two equal, not NULL). Each stretch is as long as can be.
+    Each stretch is as long as can be. windows: see shared_windows.
     """
-    parts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    edges = edges_of(texts, length).repartition(parts, "edge")
-    # both readers of the exchange see the edges clustered by hash: counting and joining back need no other shuffle. The
-    # counting side takes all columns too, for an exchange is reused only where both sides ask for the same ones
-    counted = edges.groupBy("edge").agg(F.min("id").alias("i0"), F.max("id").alias("i1"), F.min("seq").alias("s0"), F.min("start").alias("p0"))
-    repeated = counted.where("i0 < i1 AND s0 >= 0 AND p0 >= 0").select("edge")
-    occurrences = materialise(edges.join(repeated, "edge"), "repeated-edges")
-    paths = materialise(compact(occurrences), "paths")
+    paths = materialise(compact(windows.select("id", F.col("start").alias("seq"), "edge", "start")), "paths")
     x = paths.select("path", F.col("id").alias("a"), F.col("start").alias("pa"))
     y = paths.select("path", F.col("id").alias("b"), F.col("start").alias("pb"))
     # one text may hold a path several times: every diagonal is tried
@@ -187,13 +244,19 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return digest.join(least, "h").select("id", "cls", "n")
 
 
-def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(membership id, cls, n) and (stretches between classes, see `shared`)."""
+def distinct_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """(membership id, cls, n) and (texts id, text: one per class, of at least `length` characters)."""
     member = materialise(classes(documents, key, text), "classes")
     heads = member.where("id = cls").select("id")
     rows = documents.where(F.col(text).isNotNull() & (F.length(text) >= length)).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    once = rows.join(heads, "id").groupBy("id").agg(F.min("text").alias("text")) if _may_repeat(documents, key) else rows.join(heads, "id")
-    return member, shared(once, length)
+    once = rows.join(heads, "id")
+    return member, once.groupBy("id").agg(F.min("text").alias("text")) if _may_repeat(documents, key) else once
+
+
+def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """(membership id, cls, n) and (stretches between classes, see `shared`)."""
+    member, texts = distinct_texts(documents, key, text, length)
+    return member, shared(texts, shared_windows(texts, length), length)
 
 
 def _may_repeat(documents: DataFrame, key: str) -> bool:
@@ -211,13 +274,14 @@ def pairs(member: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFram
     return across.unionByName(equal)
 
 
-def shared_amount(member: DataFrame, spans: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_chars, shared_chars: characters of each record that stand in a long stretch of another record too."""
-    both = spans.select(F.col("a").alias("cls"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("n")).alias("e"))
-    both = both.unionByName(spans.select(F.col("b").alias("cls"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("n")).alias("e"))).distinct()
-    w = Window.partitionBy("cls").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-    covered = both.withColumn("before", F.max("e").over(w)).select("cls", F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce("before", "s"))).alias("k"))
-    amount = covered.groupBy("cls").agg(F.sum("k").alias("k"))
+def shared_amount(member: DataFrame, windows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, n_chars, shared_chars: characters of each record that stand in a long stretch of another record too.
+
+    Windows of a text are laid over each other in order; a text with an equal one is shared as a whole.
+    """
+    w = Window.partitionBy("id").orderBy("start")
+    fresh = F.least(F.lit(length), F.col("start") - F.coalesce(F.lag("start").over(w), F.col("start") - length))
+    amount = windows.select("id", fresh.alias("k")).groupBy(F.col("id").alias("cls")).agg(F.sum("k").alias("k"))
     sizes = member.groupBy("cls").agg(F.count("*").alias("m"))
     met = member.join(sizes, "cls").join(amount, "cls", "left")
     whole = (F.col("m") > 1) & (F.col("n") >= length)

@@ -21,9 +21,9 @@ def common(a, b):
 def run(spark, rows, length):
     df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").selectExpr("*", "'clash' AS id", "1 AS path", "doc_id AS a")
     member, spans = S.shared_spans(df, length=length)
-    spans = spans.cache()
     found = {(r["doc_id_a"], r["doc_id_b"]) for r in S.pairs(member, spans, length).collect()}
-    return found, {r["doc_id"]: r["shared_chars"] for r in S.shared_amount(member, spans, length).collect()}
+    member, texts = S.distinct_texts(df, length=length)
+    return found, {r["doc_id"]: r["shared_chars"] for r in S.shared_amount(member, S.shared_windows(texts, length), length).collect()}
 
 
 def brute(rows, length):
@@ -72,6 +72,17 @@ def test_stretches_of_the_standard_length(spark):
     assert found == {(1, 2), (1, 4), (2, 4)}
 
 
+def test_a_passage_below_the_limit_in_many_texts_costs_no_pairs(spark):
+    rnd = random.Random(6)
+    make = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    hot = make(150)
+    rows = [(i, make(60) + hot + make(60)) for i in range(60)] + [(100, rows_ := make(80) + hot + make(80)), (101, "#" + rows_[10:] + "#")]
+    df = spark.createDataFrame(rows, "id BIGINT, text STRING")
+    windows = S.shared_windows(df, 200)
+    assert {r["id"] for r in windows.select("id").distinct().collect()} == {100, 101}
+    assert [(r["a"], r["b"], r["n"]) for r in S.shared(df, windows, 200).collect()] == [(100, 101, len(rows_) - 10)]
+
+
 def test_empty(spark):
     assert run(spark, [], 200) == (set(), {})
 
