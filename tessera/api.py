@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fixed, globs, selector, text
 from tessera.operators import chunks, diff, graph, metrics, rules, similarity, xref
+from tessera.sources import scopes, structural
 
 
 class Engine:
@@ -96,6 +97,12 @@ class Engine:
         found = self.symbols(generated).where(selector.parse(pattern))
         return found.orderBy("file", "start_line", "name").limit(limit)
 
+    def call_structural(self, pattern: str, where: dict[str, str] | None = None, rewrite: str | None = None) -> DataFrame:
+        return structural.structural_grep(self.tables["sources"], pattern, where, rewrite)
+
+    def call_query(self, query: str, limit: int = 1000) -> DataFrame:
+        return structural.tree_query(self.tables["sources"], query).limit(limit)
+
     def call_refs(self, name: str, regex: bool = False, language: str = "", limit: int = 1000) -> DataFrame:
         r = self.tables["refs"].where(F.col("name").rlike(selector.java_pattern(name)) if regex else F.col("name") == name)
         if language:
@@ -217,8 +224,13 @@ class Engine:
         return graph.components(e, d.select("id")).join(d, "id").groupBy("package").agg(F.countDistinct("component").alias("lcom"))
 
     def call_types(self) -> DataFrame:
+        """Types with their fields, interface width and nesting where the texts are at hand, and their method sets."""
+        methods = self.symbols().where("kind = 'method_definition'").select("receiver")
+        if "sources" in self.tables:
+            shapes = scopes.type_shapes(self.tables["sources"]).withColumnRenamed("path", "file")
+            return metrics.type_methods(shapes, methods)
         s = self.symbols()
-        return metrics.type_methods(s.where(F.col("kind").contains("type_definition") | F.col("kind").contains("struct") | F.col("kind").contains("class")), s.where("kind = 'method_definition'").select("receiver"))
+        return metrics.type_methods(s.where(F.col("kind").contains("type_definition") | F.col("kind").contains("struct") | F.col("kind").contains("class")), methods)
 
     def call_hotspot(self, top: int = 20) -> DataFrame:
         return metrics.top(metrics.hotspots(self.functions(), self.tables["churn"]), [F.desc("score"), F.asc("file"), F.asc("start_line")], top)
@@ -227,8 +239,29 @@ class Engine:
         tested = self.call_testmap().where("coverage = 'tested'").select("id")
         return metrics.top(metrics.risks(self.functions(), self.tables["churn"], tested).where(F.col("risk") >= least), [F.desc("risk"), F.asc("file"), F.asc("start_line")], top)
 
-    def call_smells(self) -> DataFrame:
-        return rules.function_smells(self.functions(), ["file", "name", "start_line"])
+    def call_smells(self, severity: str = "") -> DataFrame:
+        """subject, smell, severity: of functions, packages, types and the calls between them, errors first."""
+        at = F.concat_ws(":", "file", "name", F.col("start_line").cast("string")).alias("subject")
+        parts = [rules.function_smells(self.functions(), ["file", "name", "start_line"]).select(at, "smell", "severity")]
+        coupling = self.call_coupling()
+        sizes = self.symbols().groupBy(text.dirname("file").alias("package")).agg(F.count("*").alias("symbols"))
+        packages = coupling.join(sizes, "package", "left").join(self.call_cohesion(), "package", "left").na.fill(0)
+        parts.append(rules.package_smells(packages).select(F.col("package").alias("subject"), "smell", "severity"))
+        if "sources" in self.tables:
+            parts.append(rules.type_smells(self.call_types()).select(F.concat_ws(":", "file", "name").alias("subject"), "smell", "severity"))
+        warn = lambda df, subject, smell: df.select(subject.alias("subject"), F.lit(smell).alias("smell"), F.lit("warning").alias("severity"))
+        d = self.definitions().select("id", "package", "file", "name")
+        calls = self.edges().join(d.select(F.col("id").alias("caller_id"), "package", "file", "name"), "caller_id").join(d.select(F.col("id").alias("callee_id"), F.col("package").alias("callee_package")), "callee_id")
+        envy = rules.feature_envy(calls.select(F.concat_ws(":", "file", "name").alias("caller_id"), "package", "callee_package", "count"))
+        parts.append(warn(envy, F.concat_ws(" -> ", "caller_id", "target"), "feature_envy"))
+        parts.append(warn(rules.unstable_dependencies(self.package_edges(), coupling), F.concat_ws(" -> ", "src", "dst"), "unstable_dep"))
+        if "signature" in self.functions().columns:
+            parts.append(warn(rules.data_clumps(self.functions()), F.col("params"), "data_clump"))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        out = out.where(F.col("severity") == severity) if severity else out
+        return out.orderBy(F.col("severity") != "error", "subject", "smell")
 
     def call_lint(self, limits: dict[str, int] | None = None, text_rules: tuple[str, ...] = ()) -> DataFrame:
         """file, name, start_line, rule, value: threshold rules and `no ...` sentences; suppressed lines are left out."""

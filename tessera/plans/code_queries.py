@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tessera.api import Engine
 from tessera.functions import fixed, globs, selector, text
-from tessera.operators import diff, metrics, rules, similarity, snapshots
+from tessera.operators import diff, lookup, metrics, rules, similarity, snapshots
 from tessera.operators import chunks as cut
 from tessera.plans import relations as R
 from tessera.session import materialise
-from tessera.sources import extract, structural
+from tessera.sources import extract, scopes, structural
 from tessera.sources.tables import clean_path, table
 
 Q: dict = {}
@@ -459,6 +459,21 @@ def symbol_chunks(spark: SparkSession, d: str) -> DataFrame:
     return cut.symbol_chunks(once, extract.index_tables(found)["symbols"], 100).select("path", "kind", "name", "start_line", "end_line", "tokens")
 
 
+@query()
+def type_shapes(spark: SparkSession, d: str) -> DataFrame:
+    once = table(spark, d, "sources").groupBy("path").agg(F.max("content").alias("content"))
+    return scopes.type_shapes(once)
+
+
+@query()
+def name_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """Names of Python files, resolved through their scopes: how many by kind of definition."""
+    once = table(spark, d, "sources").groupBy("path").agg(F.max("content").alias("content"))
+    t = scopes.scope_tables(once)
+    found = lookup.resolve_in_scopes(t["refs"], t["scopes"], t["defs"]).join(t["defs"].select("def_id", "kind"), "def_id", "left")
+    return found.groupBy(F.coalesce("kind", F.lit("unknown")).alias("kind")).agg(F.count("*").alias("refs"))
+
+
 # --- differences ---
 
 

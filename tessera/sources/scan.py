@@ -47,13 +47,13 @@ def index_tree(spark: SparkSession, root: str, before: DataFrame | None = None,
     before has the columns of this result. Files that are gone fall out; an unreadable one becomes an error.
     """
     now = listing(spark, root, ignore)
-    fresh = read_texts(spark, root, to_read(now, before))
+    fresh = detected(read_texts(spark, root, to_read(now, before))).withColumn("fast", F.col("gen_reason").isNotNull() & (F.octet_length("content") >= FAST_FROM)).select("path", "content", "fast")
 
     def run(batches):
         import pandas as pd
 
         for b in batches:
-            yield pd.DataFrame([(p, *extract(p, t)) for p, t in zip(b["path"], b["content"])], columns=["path", "language", "error", "symbols", "refs", "imports"])
+            yield pd.DataFrame([(p, *extract(p, t, fast)) for p, t, fast in zip(b["path"], b["content"], b["fast"])], columns=["path", "language", "error", "symbols", "refs", "imports"])
 
     read = fresh.mapInPandas(run, SCHEMA).join(now.select("path", "size_bytes", "mtime_ns"), "path")
     if before is None:

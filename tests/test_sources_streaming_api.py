@@ -126,7 +126,7 @@ def test_the_engine_end_to_end(spark, tree):
     assert {r["name"]: r["lcom"] for r in e.call("cohesion").select(F.col("package").alias("name"), "lcom").collect()} == {".": 2, "p": 1}
     assert e.call("context", concept="used", tokens=50).count() == 1
     assert {(r["line"], r["edit"]) for r in e.call("refactor", pattern="function_definition[name=/^Used$/]", new_name="Use", callsites=True).collect()} == {(19, "declaration"), (14, "reference"), (24, "reference")}
-    for name, arguments in {"map": {}, "errors": {}, "imports": {"reverse": True}, "fanin": {}, "unresolved": {}, "deps": {}, "cycles": {}, "bridge": {}, "coupling": {}, "types": {}, "hotspot": {}, "risk": {}, "smells": {}, "lint": {"text_rules": ("no function longer than 3 lines", "no import fmt")}, "boundaries": {"config": "module .\n deny internal/*\n"}, "capa": {}, "reachability": {"package": ".", "apis": ["Used"]}, "reachability ": {"package": "p", "category": "code_eval"}, "similarity": {}, "secrets": {}, "check": {}, "report": {"owners": [("p/", "team")]}, "review": {"changed": ["main.go"]}, "guardrails": {"file": "main.go"}, "chunk": {"tokens": 20}, "diff": {"before": e.symbols().limit(0)}, "drift": {"base": e}}.items():
+    for name, arguments in {"map": {}, "errors": {}, "imports": {"reverse": True}, "fanin": {}, "unresolved": {}, "deps": {}, "cycles": {}, "bridge": {}, "coupling": {}, "types": {}, "hotspot": {}, "risk": {}, "smells": {"severity": "warning"}, "structural": {"pattern": "len($X)"}, "query": {"query": "(Return) @r"}, "lint": {"text_rules": ("no function longer than 3 lines", "no import fmt")}, "boundaries": {"config": "module .\n deny internal/*\n"}, "capa": {}, "reachability": {"package": ".", "apis": ["Used"]}, "reachability ": {"package": "p", "category": "code_eval"}, "similarity": {}, "secrets": {}, "check": {}, "report": {"owners": [("p/", "team")]}, "review": {"changed": ["main.go"]}, "guardrails": {"file": "main.go"}, "chunk": {"tokens": 20}, "diff": {"before": e.symbols().limit(0)}, "drift": {"base": e}}.items():
         e.call(name.strip(), **arguments).collect()
     with pytest.raises(KeyError):
         e.call("nothing")
