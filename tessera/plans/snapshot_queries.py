@@ -36,7 +36,7 @@ def p1_values(spark: SparkSession, d: str) -> DataFrame:
     all_rows = materialise(snapshots.deliveries(t("symbols"), t("imports"), t("snapshots")).drop("version_id"), "p1-rows")
     changes = snapshots.all_changes(spark, t("symbols"), t("imports"), t("snapshots")).where("change = 'modified'")
     turn = snapshots.complete_deliveries(t("snapshots")).select(F.col("repo").alias("scope"), F.col("snapshot_id").alias("version_id"), "turn")
-    at = changes.join(F.broadcast(turn), ["scope", "version_id"])  # one row per delivery of a repository
+    at = changes.join(turn, ["scope", "version_id"])
     old = all_rows.select(*snapshots.KEYS, (F.col("turn") + 1).alias("turn"), *(F.col(v).alias(f"old_{v}") for v in snapshots.VALUES))
     new = all_rows.select(*snapshots.KEYS, "turn", *(F.col(v).alias(f"new_{v}") for v in snapshots.VALUES))
     keys = [*snapshots.KEYS, "turn"]
