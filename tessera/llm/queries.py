@@ -96,7 +96,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def p10_amount(spark: SparkSession, d: str) -> DataFrame:
     """Per page: its length and how many of its characters stand in a long stretch of another page."""
     member, texts = shared_spans.distinct_texts(table(spark, d, "documents"))
-    return shared_spans.shared_amount(member, shared_spans.shared_windows(texts))
+    return shared_spans.shared_amount(member, shared_spans.shared_windows(texts, shared_spans.repeated_edges(texts)))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -6,18 +6,18 @@ characters have the least hash). A stretch of `length` characters that two texts
 followed by K = length - WINDOW + 1 characters, so both texts take the same k-mer there: no shared stretch is missed,
 whatever it consists of. Only edges that occur in at least two texts are kept.
 
-Refinement. Around the repeated edges the graph is made dense and its k-mers as long as the stretches asked for: every
-window of `length` characters that holds a repeated edge is hashed, and those that occur in two texts are kept. From
-these alone follows how much of each text is shared, without any pair of texts (`shared_amount`).
-
-Compaction. Successive windows of a text are linked. A link is unbranching if neither window ever occurs without the
-other (the ways in and out of a window are counted by Spark aggregations and joined back); maximal unbranching paths are
-compacted, and the first window names the path, which is the same in every occurrence.
-
-Verification. Compacted paths keep their source coordinates. Two texts that share a path share a stretch that is long
-enough, so the pairs laid out are those of the result and not more: a shorter passage that very many texts hold costs
-its windows, not its pairs. Pairs are laid over each other on the diagonals of their paths and the common stretch is
-grown character by character. Equal texts take part once.
+Refinement. Around repeated edges the graph is made dense and its k-mers as long as the stretches asked for: every window
+of `length` characters that holds a repeated edge is hashed, and those that occur in two texts are kept. From these
+alone follows how much of each text is shared, without any pair of texts (`shared_amount`). For pairs, the edges that
+more than FEW occurrences have are refined; the others lead to so few candidates that each can be looked at.
+
+Compaction. Successive edges, or windows, of a text are linked. A link is unbranching if neither ever occurs without the
+other (the ways in and out are counted by Spark aggregations and joined back); maximal unbranching paths are compacted,
+and the first edge names the path, which is the same in every occurrence.
+
+Verification. Compacted paths keep their source coordinates. Texts that share a path of windows share a stretch that is
+long enough, so a shorter passage that very many texts hold costs its windows, not its pairs. Pairs are laid over each
+other on the diagonals of their paths and the common stretch is grown character by character. Equal texts take part once.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from tessera.session import materialise
 
 LENGTH = 200
 GRAM, WINDOW = 8, 64
+#: Occurrences of an edge up to which its texts are paired directly.
+FEW = 16
 _M = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -182,7 +184,7 @@ def _common(same, most: int) -> int:
 
 
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose key occurs with two ids or more. rows: id, key and whole numbers from 0 up.
+    """Rows whose key occurs with two ids or more, with n, the key's rows. rows: id, key and whole numbers from 0 up.
 
     Both readers of the exchange see the rows clustered by key: counting and joining back need no other shuffle. The
     counting side asks for all columns too, for an exchange is reused only where both sides ask for the same ones.
@@ -190,19 +192,20 @@ def _repeated(rows: DataFrame, key: str) -> DataFrame:
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = rows.repartition(parts, key)
     rest = [c for c in rows.columns if c not in ("id", key)]
-    counted = placed.groupBy(key).agg(F.min("id").alias("i0"), F.max("id").alias("i1"), *(F.min(c).alias(f"_{c}") for c in rest))
+    counted = placed.groupBy(key).agg(F.count("*").alias("n"), F.min("id").alias("i0"), F.max("id").alias("i1"), *(F.min(c).alias(f"_{c}") for c in rest))
     cond = F.col("i0") < F.col("i1")
     for c in rest:
         cond = cond & (F.col(f"_{c}") >= 0)
-    return placed.join(counted.where(cond).select(key), key)
+    return placed.join(counted.where(cond).select(key, "n"), key)
 
 
-def shared_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """id, start, edge: the windows of `length` characters that stand in another text too, with their hashes.
+def repeated_edges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """id, seq, edge, start, n: the edges that two texts have. texts: id bigint (unique), text (distinct, not NULL)."""
+    return materialise(_repeated(edges_of(texts, length), "edge"), "repeated-edges")
 
-    texts: id bigint (unique), text (no two equal, not NULL).
-    """
-    occurrences = materialise(_repeated(edges_of(texts, length), "edge"), "repeated-edges")
+
+def shared_windows(texts: DataFrame, occurrences: DataFrame, length: int = LENGTH) -> DataFrame:
+    """id, start, edge: the windows of `length` characters around the given edges that stand in another text too."""
     starts = occurrences.groupBy("id").agg(F.collect_list("start").alias("starts"))  # no more than a text has cuts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,19 +220,22 @@ def shared_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, at, hashes)], ["id", "start", "edge"])
 
     windows = texts.join(starts, "id").select("id", "text", "starts").mapInArrow(run, "id BIGINT, start INT, edge BIGINT")
-    return materialise(_repeated(windows, "edge"), "shared-windows")
+    return materialise(_repeated(windows, "edge").drop("n"), "shared-windows")
 
 
-def shared(texts: DataFrame, windows: DataFrame, length: int = LENGTH) -> DataFrame:
+def shared(texts: DataFrame, occurrences: DataFrame, length: int = LENGTH, few: int = FEW) -> DataFrame:
     """a, b, start_a, start_b, n: common stretches of at least `length` characters of different texts (a < b).
 
-    Each stretch is as long as can be. windows: see shared_windows.
+    Each stretch is as long as can be. occurrences: see repeated_edges.
     """
-    paths = materialise(compact(windows.select("id", F.col("start").alias("seq"), "edge", "start")), "paths")
-    x = paths.select("path", F.col("id").alias("a"), F.col("start").alias("pa"))
-    y = paths.select("path", F.col("id").alias("b"), F.col("start").alias("pb"))
+    direct = compact(occurrences.where(F.col("n") <= few).drop("n")).withColumn("fine", F.lit(False))
+    windows = shared_windows(texts, occurrences.where(F.col("n") > few), length)
+    refined = compact(windows.select("id", F.col("start").alias("seq"), "edge", "start")).withColumn("fine", F.lit(True))
+    paths = materialise(direct.unionByName(refined), "paths")
+    x = paths.select("fine", "path", F.col("id").alias("a"), F.col("start").alias("pa"))
+    y = paths.select("fine", "path", F.col("id").alias("b"), F.col("start").alias("pb"))
     # one text may hold a path several times: every diagonal is tried
-    seeds = x.join(y, "path").where("a < b").groupBy("a", "b").agg(F.collect_set(F.struct("pa", "pb")).alias("seeds"))
+    seeds = x.join(y, ["fine", "path"]).where("a < b").groupBy("a", "b").agg(F.collect_set(F.struct("pa", "pb")).alias("seeds"))
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     laid = seeds.join(left, "a").join(right, "b").select("a", "b", "seeds", "ta", "tb")
@@ -253,10 +259,10 @@ def distinct_texts(documents: DataFrame, key: str = "doc_id", text: str = "text"
     return member, once.groupBy("id").agg(F.min("text").alias("text")) if _may_repeat(documents, key) else once
 
 
-def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+def shared_spans(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, few: int = FEW) -> tuple[DataFrame, DataFrame]:
     """(membership id, cls, n) and (stretches between classes, see `shared`)."""
     member, texts = distinct_texts(documents, key, text, length)
-    return member, shared(texts, shared_windows(texts, length), length)
+    return member, shared(texts, repeated_edges(texts, length), length, few)
 
 
 def _may_repeat(documents: DataFrame, key: str) -> bool:

@@ -18,12 +18,12 @@ def common(a, b):
     return best
 
 
-def run(spark, rows, length):
+def run(spark, rows, length, few=16):
     df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").selectExpr("*", "'clash' AS id", "1 AS path", "doc_id AS a")
-    member, spans = S.shared_spans(df, length=length)
+    member, spans = S.shared_spans(df, length=length, few=few)
     found = {(r["doc_id_a"], r["doc_id_b"]) for r in S.pairs(member, spans, length).collect()}
     member, texts = S.distinct_texts(df, length=length)
-    return found, {r["doc_id"]: r["shared_chars"] for r in S.shared_amount(member, S.shared_windows(texts, length), length).collect()}
+    return found, {r["doc_id"]: r["shared_chars"] for r in S.shared_amount(member, S.shared_windows(texts, S.repeated_edges(texts, length), length), length).collect()}
 
 
 def brute(rows, length):
@@ -58,7 +58,10 @@ def test_spans_around_the_limit_at_every_offset(spark):
     rows += [(1000, rows[0][1]), (1001, rows[0][1]), (1002, None), (1003, ""), (None, rows[2][1]), (1004, "x" * 90), (1005, "x" * 45 + "y"), (1006, "ab" * 60), (1007, "ba" * 20), (1008, "x" * 39)]
     rows += [(1100 + i, "a common opening of some forty-five characters " + make(20)) for i in range(8)] + [(rows[4][0], rows[4][1])]
     found, amount = run(spark, rows, length)
-    assert found == brute(rows, length)
+    want = brute(rows, length)
+    assert found == want
+    for few in (0, 3):  # all edges, or the more frequent ones, by way of their windows
+        assert run(spark, rows, length, few)[0] == want
     assert amount == brute_amount({i: t for i, t in rows if i is not None and t is not None}, length)
 
 
@@ -78,9 +81,9 @@ def test_a_passage_below_the_limit_in_many_texts_costs_no_pairs(spark):
     hot = make(150)
     rows = [(i, make(60) + hot + make(60)) for i in range(60)] + [(100, rows_ := make(80) + hot + make(80)), (101, "#" + rows_[10:] + "#")]
     df = spark.createDataFrame(rows, "id BIGINT, text STRING")
-    windows = S.shared_windows(df, 200)
-    assert {r["id"] for r in windows.select("id").distinct().collect()} == {100, 101}
-    assert [(r["a"], r["b"], r["n"]) for r in S.shared(df, windows, 200).collect()] == [(100, 101, len(rows_) - 10)]
+    edges = S.repeated_edges(df, 200)
+    assert {r["id"] for r in S.shared_windows(df, edges, 200).select("id").distinct().collect()} == {100, 101}
+    assert [(r["a"], r["b"], r["n"]) for r in S.shared(df, edges, 200).collect()] == [(100, 101, len(rows_) - 10)]
 
 
 def test_empty(spark):
