@@ -206,7 +206,7 @@ def repeated_edges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def shared_windows(texts: DataFrame, occurrences: DataFrame, length: int = LENGTH) -> DataFrame:
     """id, start, edge: the windows of `length` characters around the given edges that stand in another text too."""
-    starts = occurrences.groupBy("id").agg(F.collect_list("start").alias("starts"))  # no more than a text has cuts
+    starts = materialise(occurrences.groupBy("id").agg(F.collect_list("start").alias("starts")), "starts")  # no more than a text has cuts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -236,8 +236,12 @@ def shared(texts: DataFrame, occurrences: DataFrame, length: int = LENGTH, few:
     y = paths.select("fine", "path", F.col("id").alias("b"), F.col("start").alias("pb"))
     # one text may hold a path several times: every diagonal is tried
     seeds = x.join(y, ["fine", "path"]).where("a < b").groupBy("a", "b").agg(F.collect_set(F.struct("pa", "pb")).alias("seeds"))
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    seeds = materialise(seeds, "seeds")
+    # texts travel for these joins, so only those that are in a pair
+    met = materialise(seeds.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "paired")
+    paired = materialise(texts.join(met, "id", "left_semi"), "paired-texts")
+    left = paired.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+    right = paired.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     laid = seeds.join(left, "a").join(right, "b").select("a", "b", "seeds", "ta", "tb")
     return laid.mapInArrow(lambda b: _grow(length, b), "a BIGINT, b BIGINT, start_a INT, start_b INT, n INT")
 
@@ -253,9 +257,10 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def distinct_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """(membership id, cls, n) and (texts id, text: one per class, of at least `length` characters)."""
     member = materialise(classes(documents, key, text), "classes")
-    heads = member.where("id = cls").select("id")
-    rows = documents.where(F.col(text).isNotNull() & (F.length(text) >= length)).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    once = rows.join(heads, "id")
+    # the copies, mostly few, are taken out rather than the others looked up: as a table of its own their size is known
+    copies = materialise(member.where("id <> cls").select("id"), "copies")
+    rows = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull() & (F.length(text) >= length)).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    once = rows.join(copies, "id", "left_anti")
     return member, once.groupBy("id").agg(F.min("text").alias("text")) if _may_repeat(documents, key) else once
 
 
