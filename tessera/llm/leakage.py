@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.reading import words_of
+from tessera.session import materialise
 
 SEED = 3
 #: Successive words of the item that make a case, and the share of them that may be misread.
@@ -277,8 +278,10 @@ def leaks(pages: DataFrame, items: DataFrame, least: int = LEAST, misread: float
     pages: doc_id, words, opens; items: item_id, item_words. `least` right or misread words hold at least two seeds
     unless misread words are spread so that hardly three right ones follow each other.
     """
-    pairs = candidates(pages, items, 2)
-    full = pairs.join(pages, "doc_id").join(items, "item_id").select("doc_id", "item_id", "words", "opens", "item_words")
+    pairs = materialise(candidates(pages, items, 2), "leak-candidates")
+    # the words of pages travel for this join, so only those of candidates
+    met = materialise(pairs.select("doc_id").distinct(), "candidate-pages")
+    full = pairs.join(pages.join(met, "doc_id", "left_semi"), "doc_id").join(items, "item_id").select("doc_id", "item_id", "words", "opens", "item_words")
     types = ", ".join(f"{k} {full.schema[k].dataType.simpleString()}" for k in ("doc_id", "item_id"))
     judged = full.mapInPandas(lambda b: _judge(least, misread, b), f"{types}, longest INT, coverage DOUBLE")
     return judged.where(F.col("longest") >= least)
