@@ -191,8 +191,12 @@ class Engine:
     def call_cycles(self, longest: int = 6) -> DataFrame:
         return graph.cycles(self.import_edges().where("internal"), longest)
 
-    def call_bridge(self, top: int = 20) -> DataFrame:
+    def call_bridge(self, top: int = 20, focus: str = "", depth: int = 1, reverse: bool = False) -> DataFrame:
         e = self.import_edges().where("internal")
+        if focus:
+            between = e.select(text.component("src").alias("src"), text.component("dst").alias("dst")).where("src <> dst").distinct()
+            near = graph.distances(between, self.spark.createDataFrame([(focus,)], "id STRING"), depth, reverse).select(F.col("id").alias("_c"))
+            e = e.join(near, text.component("dst" if reverse else "src") == F.col("_c"), "left_semi")
         return metrics.bridges(e.select(text.component("src").alias("from_component"), text.component("dst").alias("to_component"), F.concat_ws(" -> ", "src", "dst").alias("sample")), top)
 
     def call_drift(self, base: Engine) -> DataFrame:
@@ -297,6 +301,21 @@ class Engine:
         ident = F.concat_ws("\x00", "file", "name", F.col("start_line").cast("string"))
         return similarity.similar(b.select(ident.alias("id"), text.body("content", "start_line", "end_line").alias("body")), "id", "body", threshold)
 
+    def call_licenses(self) -> DataFrame:
+        return rules.pattern_lines(self.tables["sources"], "path", "content", rules.LICENCES)
+
+    def call_packages(self) -> DataFrame:
+        """package, files: the files of each directory."""
+        return self.files().groupBy(text.dirname("path").alias("package")).agg(F.sort_array(F.collect_list("path")).alias("files"))
+
+    def call_services(self, modules: DataFrame) -> DataFrame:
+        """repo, target, files: imports of other repositories of a federated index. modules: repo, module."""
+        i = self.tables["imports"].select(F.split_part("file", F.lit(":"), F.lit(1)).alias("repo"), "file", "import")
+        parts = F.split("import", "/")
+        prefixes = i.withColumn("module", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))))
+        met = prefixes.join(modules.select(F.col("repo").alias("target"), "module"), "module").where("repo <> target")
+        return met.groupBy("repo", "target").agg(F.countDistinct("file").alias("files"))
+
     def call_secrets(self) -> DataFrame:
         return rules.pattern_lines(self.tables["sources"], "path", "content", rules.SECRETS)
 

@@ -119,3 +119,16 @@ def samples(refs: DataFrame, by: list[str], order: list[str], most: int = 3) ->
     w = Window.partitionBy(*by).orderBy(*order)
     first = refs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
     return first.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_n", *order))).alias("samples"))
+
+
+def infer_modules(imports: DataFrame, directories: DataFrame) -> DataFrame:
+    """repo, module, votes: the import prefix that most often leaves a directory of the repository (ties: the least).
+
+    imports: repo, import; directories: repo, dir. Every split of an import is a row, looked up by equality.
+    """
+    parts = F.split("import", "/")
+    cut = imports.select("repo", "import").distinct().where(F.size(parts) > 1).withColumn("_k", F.explode(F.sequence(F.lit(1), F.size(parts) - 1)))
+    splits = cut.select("repo", F.array_join(F.slice(parts, F.lit(1), F.col("_k")), "/").alias("module"), F.array_join(F.slice(parts, F.col("_k") + 1, F.size(parts)), "/").alias("dir"))
+    votes = splits.join(directories.select("repo", "dir").distinct(), ["repo", "dir"], "left_semi").groupBy("repo", "module").agg(F.count("*").alias("votes"))
+    best = votes.withColumn("_n", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("votes"), "module"))).where("_n = 1")
+    return best.select("repo", "module", "votes")

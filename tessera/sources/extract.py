@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tessera.sources.tables import clean_path
 
 # Language of an extension.
-EXTENSIONS = {"go": "go", "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "rs": "rust", "c": "c", "h": "c"}
+EXTENSIONS = {"go": "go", "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "rs": "rust", "c": "c", "h": "c", "ll": "llvm", "s": "assembly", "asm": "assembly"}
 
 # Line patterns of definitions, by language: (kind, pattern with the groups name and perhaps receiver).
 _W = r"[A-Za-z_$][\w$]*"
@@ -53,6 +53,8 @@ DEFINITIONS = {
         ("function_definition", rf"^[A-Za-z_][\w\s*]*?\b(?P<name>{_W})\s*\([^;]*$"),
     ],
 }
+DEFINITIONS["llvm"] = [("function_definition", r"^define\b[^@]*@\"?(?P<name>[\w.$-]+)\"?\s*\("), ("variable_definition", r"^@\"?(?P<name>[\w.$-]+)\"?\s*=")]
+DEFINITIONS["assembly"] = [("function_definition", r"^(?P<name>[A-Za-z_.$][\w.$]*):(?!\S)")]
 DEFINITIONS["python"] = [("class_definition", rf"^class\s+(?P<name>{_W})"), ("function_definition", rf"^(?:async\s+)?def\s+(?P<name>{_W})\s*\(")]
 DEFINITIONS["typescript"] = [*DEFINITIONS["javascript"], ("interface_definition", rf"^\s*(?:export\s+)?interface\s+(?P<name>{_W})"), ("type_definition", rf"^\s*(?:export\s+)?type\s+(?P<name>{_W})\s*="), ("enum_definition", rf"^\s*(?:export\s+)?enum\s+(?P<name>{_W})")]
 IMPORTS = {
@@ -63,8 +65,12 @@ IMPORTS = {
     "c": re.compile(r'^\s*#\s*include\s*[<"]([^>"]+)[>"]'),
 }
 IMPORTS["typescript"] = IMPORTS["javascript"]
+IMPORTS["llvm"] = re.compile(r"^declare\b[^@]*@\"?([\w.$-]+)")
+IMPORTS["assembly"] = re.compile(r"^\s*\.extern\s+([\w.$]+)")
 _COMPILED = {lang: [(k, re.compile(p)) for k, p in rules] for lang, rules in DEFINITIONS.items()}
 _CALL = re.compile(rf"(?<![\w$])({_W})\s*\(")
+#: Calls of languages that don't put an opening parenthesis behind the name.
+_CALLS = {"llvm": re.compile(r"\bcall\b[^@]*@\"?([\w.$-]+)"), "assembly": re.compile(r"^\s+(?:call|callq|bl|jal)\s+([A-Za-z_.$][\w.$]*)")}
 _NOT_CALLS = {"if", "for", "while", "switch", "return", "func", "function", "catch", "match", "fn", "new", "sizeof", "super", "this", "elif", "and", "or", "not", "in", "def", "class", "import"}
 _BRANCH = re.compile(r"(?<![\w$])(?:if|for|while|case|catch|loop|select)(?![\w$])|&&|\|\||\?(?!\?)")
 
@@ -195,13 +201,13 @@ def extract(path: str, text: str, fast: bool = False) -> tuple:
             return lang, f"{type(e).__name__}: {e}", [], [], []
         return lang, None, list(dict.fromkeys(reader.symbols)), list(dict.fromkeys(reader.refs)), sorted(reader.imports)
     symbols, refs, imports, seen = [], [], set(), set()
-    importing = IMPORTS[lang]
+    importing, calling = IMPORTS[lang], _CALLS.get(lang, _CALL)
     for n, line in enumerate(lines):
         defined = None
         for kind, pattern in _COMPILED[lang]:
             m = pattern.match(line)
             if m and m["name"] not in _NOT_CALLS:
-                end = _block_end(lines, n)
+                end = _block_end(lines, n) if lang != "assembly" else n
                 inner = "\n".join(lines[n : end + 1])
                 receiver = m.groupdict().get("receiver") or ""
                 key = (kind, m["name"], n)
@@ -210,7 +216,7 @@ def extract(path: str, text: str, fast: bool = False) -> tuple:
                     symbols.append((kind, m["name"], signature_of(line), receiver, n + 1, end + 1, 1 + len(_BRANCH.findall(inner)), 0, 0, len(re.findall(r"\breturn\b", inner))))
                 defined = m["name"]
                 break
-        for m in _CALL.finditer(line):
+        for m in calling.finditer(line):
             if m[1] not in _NOT_CALLS and m[1] != defined:
                 refs.append(("reference.call", m[1], n + 1, m.start(1) + 1))
         m = importing.match(line)

@@ -15,14 +15,15 @@ from tessera.sources.tables import clean_path
 FAST_FROM = 100 * 1024
 
 
-def listing(spark: SparkSession, root: str, ignore: str = "") -> DataFrame:
+def listing(spark: SparkSession, root: str, ignore: str = "", single: bool = False) -> DataFrame:
     """path (below root), size_bytes, mtime_ns, language of the files a tree holds, without reading them.
 
     Hidden and well-known directories, ignored paths and unsupported extensions are dropped here, before any content is
-    read: a filter can't be pushed through the reading pass, so it stands in front of it.
+    read: a filter can't be pushed through the reading pass, so it stands in front of it. single: root is one file, and
+    its folder is what paths are below of.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/")
+    base = root.rstrip("/") if not single else root.rpartition("/")[0]
     rel = F.regexp_replace("path", "^.*?" + re.escape(re.sub(r"^\w+://", "", base)) + "/", "")
     rows = files.select(F.col("path").alias("uri"), rel.alias("path"), F.col("length").alias("size_bytes"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"))
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))

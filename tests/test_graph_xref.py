@@ -130,3 +130,9 @@ def test_import_texts(spark):
     assert got[0] == ["fmt"] and got[1] == ["a/b"] and got[2][:3] == ["use", "a", "b"]
     loc = [r[0] for r in spark.createDataFrame([("m/x/y",), ("m",), ("other/z",)], "p STRING").select(X.local_package("p", "m")).collect()]
     assert loc == ["x/y", ".", None]
+
+
+def test_modules_are_inferred_by_majority(spark):
+    i = spark.createDataFrame([("r", "ex.com/m/a/b"), ("r", "ex.com/m/c"), ("r", "other.com/c"), ("r", "fmt"), ("q", "z/y")], "repo STRING, import STRING")
+    d = spark.createDataFrame([("r", "a/b"), ("r", "c"), ("q", "x")], "repo STRING, dir STRING")
+    assert {(r["repo"], r["module"], r["votes"]) for r in X.infer_modules(i, d).collect()} == {("r", "ex.com/m", 2)}

@@ -69,7 +69,7 @@ def test_other_languages_are_read_by_patterns():
     assert imports == ["fmt", "m/internal/store"]
     assert [(s[0], s[1], s[3], s[4], s[5]) for s in symbols] == [("struct_definition", "Store", "", 8, 10), ("method_definition", "Get", "Store", 12, 17), ("function_definition", "Used", "", 19, 19), ("function_definition", "Dead", "", 21, 21), ("function_definition", "main", "", 23, 25)]
     assert ("Used", 14) in {(r[1], r[2]) for r in refs} and ("Get", 12) not in {(r[1], r[2]) for r in refs}
-    for path, text, want in [("a.rs", "pub fn f<T>(x: T) -> T { x }\nstruct S;\n", ["f", "S"]), ("a.java", "public class A {\n  public int m(int x) {\n    return n(x);\n  }\n}\n", ["A", "m"]), ("a.js", "export default class K {}\nconst f = async (x) => x;\nfunction* g() {}\n", ["K", "f", "g"]), ("a.ts", "interface I {}\nexport type T = 1\nenum E {}\n", ["I", "T", "E"])]:
+    for path, text, want in [("a.rs", "pub fn f<T>(x: T) -> T { x }\nstruct S;\n", ["f", "S"]), ("a.java", "public class A {\n  public int m(int x) {\n    return n(x);\n  }\n}\n", ["A", "m"]), ("a.js", "export default class K {}\nconst f = async (x) => x;\nfunction* g() {}\n", ["K", "f", "g"]), ("a.ll", "declare i32 @puts(ptr)\ndefine i32 @main() {\n  %1 = call i32 @puts(ptr @s)\n}\n@s = constant i8 0\n", ["main", "s"]), ("a.s", "main:\n  call puts\n.L1: nop\n", ["main", ".L1"]), ("a.ts", "interface I {}\nexport type T = 1\nenum E {}\n", ["I", "T", "E"])]:
         assert [s[1] for s in X.extract(path, text)[2]] == want
 
 
@@ -99,6 +99,10 @@ def test_a_tree_is_indexed_and_then_only_what_changed(spark, tree, tmp_path_fact
     assert "New" in {r["name"] for r in X.index_tables(again)["symbols"].collect()}
 
 
+def test_a_single_file_is_a_tree_of_its_folder(spark, tree):
+    assert [r["path"] for r in scan.listing(spark, str(tree / "p" / "a.py"), single=True).collect()] == ["a.py"]
+
+
 def engine(spark, tree):
     files = scan.listing(spark, str(tree))
     found = X.extracted(scan.read_texts(spark, str(tree), files)).cache()
@@ -126,7 +130,7 @@ def test_the_engine_end_to_end(spark, tree):
     assert {r["name"]: r["lcom"] for r in e.call("cohesion").select(F.col("package").alias("name"), "lcom").collect()} == {".": 2, "p": 1}
     assert e.call("context", concept="used", tokens=50).count() == 1
     assert {(r["line"], r["edit"]) for r in e.call("refactor", pattern="function_definition[name=/^Used$/]", new_name="Use", callsites=True).collect()} == {(19, "declaration"), (14, "reference"), (24, "reference")}
-    for name, arguments in {"map": {}, "errors": {}, "imports": {"reverse": True}, "fanin": {}, "unresolved": {}, "deps": {}, "cycles": {}, "bridge": {}, "coupling": {}, "types": {}, "hotspot": {}, "risk": {}, "smells": {"severity": "warning"}, "structural": {"pattern": "len($X)"}, "query": {"query": "(Return) @r"}, "lint": {"text_rules": ("no function longer than 3 lines", "no import fmt")}, "boundaries": {"config": "module .\n deny internal/*\n"}, "capa": {}, "reachability": {"package": ".", "apis": ["Used"]}, "reachability ": {"package": "p", "category": "code_eval"}, "similarity": {}, "secrets": {}, "check": {}, "report": {"owners": [("p/", "team")]}, "review": {"changed": ["main.go"]}, "guardrails": {"file": "main.go"}, "chunk": {"tokens": 20}, "diff": {"before": e.symbols().limit(0)}, "drift": {"base": e}}.items():
+    for name, arguments in {"map": {}, "errors": {}, "imports": {"reverse": True}, "fanin": {}, "unresolved": {}, "deps": {}, "cycles": {}, "bridge": {}, "coupling": {}, "types": {}, "hotspot": {}, "risk": {}, "smells": {"severity": "warning"}, "structural": {"pattern": "len($X)"}, "query": {"query": "(Return) @r"}, "lint": {"text_rules": ("no function longer than 3 lines", "no import fmt")}, "boundaries": {"config": "module .\n deny internal/*\n"}, "capa": {}, "reachability": {"package": ".", "apis": ["Used"]}, "reachability ": {"package": "p", "category": "code_eval"}, "similarity": {}, "secrets": {}, "licenses": {}, "packages": {}, "services": {"modules": spark.createDataFrame([("r", "m")], "repo STRING, module STRING")}, "bridge ": {"focus": "root", "depth": 2}, "check": {}, "report": {"owners": [("p/", "team")]}, "review": {"changed": ["main.go"]}, "guardrails": {"file": "main.go"}, "chunk": {"tokens": 20}, "diff": {"before": e.symbols().limit(0)}, "drift": {"base": e}}.items():
         e.call(name.strip(), **arguments).collect()
     with pytest.raises(KeyError):
         e.call("nothing")
