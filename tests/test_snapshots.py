@@ -64,6 +64,9 @@ def test_a_failed_advance_can_be_repeated(spark, tmp_path):
     got = {(r["name"], r["change"]) for r in again.advance(rows("bc"), scopes).collect()}
     assert got == {("a", "removed"), ("c", "added")}
     assert {r["name"] for r in again.rows().collect()} == {"b", "c"}
+    # another session doesn't know the table: it is registered again over the same files
+    spark.sql(f"DROP TABLE {again.pointer.read()}")
+    assert {r["name"] for r in S.SnapshotIndex(spark, ["signature"], str(tmp_path / "index"), buckets=2).rows().collect()} == {"b", "c"}
     # the two versions are bucketed alike, so the join that compares them needs no exchange on either side
     plan = again.probe(again.pointer.read(), scopes)._jdf.queryExecution().executedPlan().toString().split("\n")
     at_join = next(k for k, line in enumerate(plan) if "FullOuter" in line)
