@@ -115,6 +115,12 @@ def near_duplicate_classes(rows: DataFrame, key: str, text: str, threshold: floa
     return member.select(key, "cls"), similar_sets(sets, threshold)
 
 
+def matches(member: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """a, b, score, method: copies linked to the least key of their class (exact), classes linked by shingles (ngram)."""
+    exact = member.where(F.col(key) != F.col("cls")).select(F.col("cls").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("score"), F.lit("exact").alias("method"))
+    return exact.unionByName(links.select("a", "b", "score", F.lit("ngram").alias("method")))
+
+
 def all_pairs(member: DataFrame, links: DataFrame, key: str) -> DataFrame:
     """key_a < key_b, score: the links and equal texts expanded to their members, as a stated result demands."""
     names = [f"{key}_a", f"{key}_b"]

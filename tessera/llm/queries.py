@@ -27,6 +27,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.all_pairs(member, links, "print_id").select("print_id_a", "print_id_b")
 
 
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    """Matches with their method: each copy and its class's first body (exact), and pairs of classes (ngram)."""
+    member, links = near_duplicates.near_duplicate_classes(table(spark, d, "prints"), "print_id", "body", BODY_SCORE, BODY_SHINGLE)
+    return near_duplicates.matches(member, links, "print_id")
+
+
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row per function body: its class of equal bodies, its group over all links, and its class's number of links."""
     member, links = near_duplicates.near_duplicate_classes(table(spark, d, "prints"), "print_id", "body", BODY_SCORE, BODY_SHINGLE)
@@ -116,7 +122,7 @@ def p6_detector(spark: SparkSession, d: str) -> DataFrame:
     return layout.against_detector(materialise(layout.classified(table(spark, d, "sources")), "classified"), table(spark, d, "files"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_detector": p6_detector, "p3_found": p3_found, "p3_rates": p3_rates, "p10_found": p10_found, "p10_amount": p10_amount, "p9_found": p9_found, "p9_shares": p9_shares, "p9_mix": p9_mix, "p8_found": p8_found, "p8_items": p8_items, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sizes": p7_sizes}
+QUERIES = {"p6_found": p6_found, "p6_detector": p6_detector, "p3_found": p3_found, "p3_rates": p3_rates, "p10_found": p10_found, "p10_amount": p10_amount, "p9_found": p9_found, "p9_shares": p9_shares, "p9_mix": p9_mix, "p8_found": p8_found, "p8_items": p8_items, "p2_found": p2_found, "p2_links": p2_links, "p2_groups": p2_groups, "p4_found": p4_found, "p4_percentiles": p4_percentiles, "p7_found": p7_found, "p7_sizes": p7_sizes}
 
 _GROUPS = """RECURSIVE e AS (SELECT a, b FROM pairs WHERE a <> b UNION SELECT b, a FROM pairs WHERE a <> b),
     r AS (SELECT a AS v, a AS g FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.v AND r.g < e.b),

@@ -57,3 +57,10 @@ def test_hot_class_and_empty_table(spark):
     rows = [(i, "p q r s t u v") for i in range(60)] + [(100 + i, f"p q r s t u v {i}") for i in range(5)]
     assert run(spark, rows) == brute(rows, 0.7, 3)
     assert run(spark, []) == {}
+
+
+def test_matches_name_their_method(spark):
+    rows = [(i, "p q r s t u v w x y") for i in (4, 2, 9)] + [(7, "p q r s t u v w x y z")]
+    df = spark.createDataFrame(rows, "id BIGINT, body STRING")
+    member, links = N.near_duplicate_classes(df, "id", "body", 0.7, 3)
+    assert {(r["a"], r["b"], r["method"]) for r in N.matches(member, links, "id").collect()} == {(2, 4, "exact"), (2, 9, "exact"), (2, 7, "ngram")}
