@@ -92,27 +92,28 @@ def hops_sql(before: str | None = None) -> str:
 SPARSE = "1995-07-01"
 
 
-def sparse_edges(spark: SparkSession, d: str) -> DataFrame:
-    return hops(spark, d, SPARSE).groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count("*").alias("count"))
+def sparse_edges(spark: SparkSession, d: str, before: str | None = SPARSE) -> DataFrame:
+    """Calls of the lines shipped before a date; of all lines with None."""
+    return hops(spark, d, before).groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count("*").alias("count"))
 
 
 SPARSE_SQL = hops_sql(SPARSE) + ", e AS (SELECT a AS src, b AS dst, count(*) AS count FROM hops GROUP BY 1, 2)"
 
 
-def package_edges(spark: SparkSession, d: str) -> DataFrame:
+def package_edges(spark: SparkSession, d: str, before: str | None = SPARSE) -> DataFrame:
     defs = definitions(spark, d).select("id", "package")
-    e = sparse_edges(spark, d)
+    e = sparse_edges(spark, d, before)
     return e.join(defs.select(F.col("id").alias("src"), F.col("package").alias("p")), "src").join(defs.select(F.col("id").alias("dst"), F.col("package").alias("q")), "dst").groupBy(F.col("p").alias("src"), F.col("q").alias("dst")).agg(F.sum("count").alias("count"))
 
 
 PACKAGES_SQL = f"{DEFINITIONS}, {SPARSE_SQL}, pe AS (SELECT p.package AS src, q.package AS dst, CAST(sum(count) AS BIGINT) AS count FROM e JOIN defs p ON p.id = e.src JOIN defs q ON q.id = e.dst GROUP BY 1, 2)"
 
 
-def calls(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def calls(spark: SparkSession, d: str, before: str | None = SPARSE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """refs (file, package, name, caller_id), definitions, imports (file, package): names of successive parts as calls."""
     defs = definitions(spark, d)
     by_id = defs.select("id", "file", "package", "name")
-    h = hops(spark, d, SPARSE)
+    h = hops(spark, d, before)
     refs = h.join(by_id.select(F.col("id").alias("a"), "file", "package"), "a").join(by_id.select(F.col("id").alias("b"), "name"), "b").select("file", "package", "name", F.col("a").alias("caller_id"))
     back = hops(spark, d).where("flag = 'R'")
     imports = back.join(by_id.select(F.col("id").alias("a"), "file"), "a").join(by_id.select(F.col("id").alias("b"), F.col("package")), "b").select("file", "package").distinct()
