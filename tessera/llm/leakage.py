@@ -217,17 +217,15 @@ def longest_passage(item: list[str], page: list[str], found: list[tuple[int, int
 
 
 def _window(status: list[int], misread: float) -> int:
-    """Longest window without absent words that begins and ends with right ones and has few enough misread."""
+    """Longest window without absent words of which few enough are misread, wherever in it they stand."""
     best = 0
     for s in range(len(status)):
-        if status[s]:
-            continue
         wrong = 0
         for e in range(s, len(status)):
             if status[e] == 2:
                 break
             wrong += status[e]
-            if not status[e] and wrong <= misread * (e - s + 1):
+            if wrong <= misread * (e - s + 1):
                 best = max(best, e - s + 1)
     return best
 

@@ -100,3 +100,14 @@ def test_misread_words_resemble():
         assert L.resembles(a, b)
     for a, b in [("harbour", "kettle"), ("the", "of"), ("market", "parish")]:
         assert not L.resembles(a, b)
+
+
+def test_misread_words_at_either_end_count():
+    item = words(random.Random(11), 15)
+    wrong = lambda w: w[:-1] + "~"
+    for at in [(0,), (14,), (0, 14), (0, 7, 14), (0, 1, 14)]:
+        page = ["zzzz"] * 5 + [wrong(w) if k in at else w for k, w in enumerate(item)] + ["zzzz"] * 5
+        numbers = {w: k for k, w in enumerate(dict.fromkeys(item + page), 1)}
+        found = L.tiles([numbers[w] for w in item], [numbers[w] for w in page])
+        assert L.longest_passage(item, page, found) == 15
+    assert L._window([1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0, 1, 1], L.MISREAD) < 15
