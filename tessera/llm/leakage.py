@@ -1,6 +1,7 @@
 """Evaluation texts that leak into training text, by greedy string tiling.
 
-Runs of three successive words are the seeds: a seed join of pages and test items gives the candidate pairs. A pair's
+Runs of three successive words are the seeds, in each form that line ends, specks and lost blanks give them: a seed join
+of pages and test items gives the candidate pairs. A pair's
 word sequences are tiled: the longest common runs are found by a running Karp-Rabin hash and marked, longest first and
 without overlap, until no run of two unmarked words is left. Tiles that follow each other in both texts form passages;
 between and around tiles the words are aligned one to one, and a word that resembles its counterpart counts as misread.
@@ -13,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,15 +106,20 @@ def tiles(item: list[int], page: list[int], least: int = _TILE) -> list[tuple[in
         size = max(least, size // 2)
 
 
-def _mend(item_words: set[str], words: list[str], opens: list[int]) -> list[str]:
-    """Join words over a line end without hyphen where only the joined form is a word of the item."""
-    if not opens:
-        return words
+def _mend(item: list[str], words: list[str]) -> list[str]:
+    """The page's words as the item has them: those cut by line ends or specks joined, those run together taken apart.
+
+    Only where the page's form is no word of the item and the other form is.
+    """
+    known, glued = set(item), {}
+    for x, y in zip(item, item[1:]):
+        glued.setdefault(x + y, (x, y))
     out: list[str] = []
-    breaks = set(opens)
-    for k, w in enumerate(words):
-        if k in breaks and out and out[-1] + w in item_words and not (out[-1] in item_words and w in item_words):
+    for w in words:
+        if out and out[-1] + w in known and not (out[-1] in known and w in known):
             out[-1] += w
+        elif w in glued and w not in known:
+            out += glued[w]
         else:
             out.append(w)
     return out
@@ -230,25 +237,72 @@ def _window(status: list[int], misread: float) -> int:
     return best
 
 
+def _possible(item: list[str], page: list[str], least: int, misread: float) -> bool:
+    """Whether a passage of `least` words can come out, by the item words that the page has anywhere, cut or run together too."""
+    there = set(page)
+    there.update(map(str.__add__, page, page[1:]))
+    status = [int(w not in there) for w in item]
+    for k, (a, b) in enumerate(zip(item, item[1:])):
+        if a + b in there:
+            status[k] = status[k + 1] = 0
+    return status.count(0) >= (1 - misread) * least - 1e-9 and _window(status, misread) >= least
+
+
 def _judge(least: int, misread: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
-        for doc, item_id, words, opens, item in zip(b["doc_id"], b["item_id"], b["words"], b["opens"], b["item_words"]):
-            item, page = list(item), _mend(set(item), list(words), list(opens))
+        for doc, item_id, words, item in zip(b["doc_id"], b["item_id"], b["words"], b["item_words"]):
+            item = list(item)
+            page = _mend(item, list(words))
+            if not _possible(item, page, least, misread):
+                continue
             numbers: dict[str, int] = {}
             coded_i = [numbers.setdefault(w, len(numbers) + 1) for w in item]
             coded_p = [numbers.setdefault(w, len(numbers) + 1) for w in page]
             found = tiles(coded_i, coded_p)
             covered = sum(k for k, _, _ in found)
-            # a passage of `least` words has at least (1 - misread) of them right, and most of those in tiles
-            longest = longest_passage(item, page, found, misread) if max((k for k, _, _ in found), default=0) >= SEED else 0
+            longest = longest_passage(item, page, found, misread)
             rows.append((doc, item_id, longest, covered / max(1, len(item))))
         yield pd.DataFrame(rows, columns=["doc_id", "item_id", "longest", "coverage"])
 
 
 def _seeds(words: Column) -> Column:
-    runs = F.transform(F.sequence(F.lit(0), F.size(words) - SEED), lambda i: F.xxhash64(*(F.element_at(words, (i + k + 1).cast("int")) for k in range(SEED))))
-    return F.when(F.size(words) >= SEED, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+    """Runs of two and of three successive words."""
+    def runs(n: int) -> Column:
+        at = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(*(F.element_at(words, (i + k + 1).cast("int")) for k in range(n))))
+        return F.when(F.size(words) >= n, at).otherwise(F.array().cast("array<bigint>"))
+
+    return F.array_distinct(F.concat(runs(SEED), runs(SEED - 1)))
+
+
+def item_runs(item: list[str]) -> set[tuple[str, ...]]:
+    """The runs with which a page can begin three successive words of the item, if it has them right.
+
+    Each word may stand whole or cut in two by a line end or a speck, and two words may be run together. The first three
+    words of the page are a run; where only two stand there, one of them is two words of the item.
+    """
+    cut = lambda w: [(w[:k], w[k:]) for k in range(1, len(w))]
+    out: set[tuple[str, ...]] = set()
+    for a, b, c in zip(item, item[1:], item[2:]):
+        forms = [[(w,), *cut(w)] for w in (a, b, c)]
+        out.update((x + y + z)[:SEED] for x in forms[0] for y in forms[1] for z in (forms[2] if len(x + y) < SEED else [()]))
+        out |= {(a + b, c), (a, b + c)} | {(a + b, *z) for z in cut(c)} | {(*x, b + c) for x in cut(a)}
+    return out
+
+
+def _item_seeds(items: DataFrame) -> DataFrame:
+    """item_id, seed: the runs of each item as a page may have them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, words in enumerate(b.column("item_words").to_pylist()):
+                found = [list(r) for r in item_runs(words)]
+                ids = b.column("item_id").take(pa.array([k] * len(found), pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(found, pa.list_(pa.string()))], ["item_id", "run"])
+
+    runs = items.mapInArrow(run, f"item_id {items.schema['item_id'].dataType.simpleString()}, run ARRAY<STRING>")
+    part = [F.element_at("run", k + 1) for k in range(SEED - 1)]
+    seed = F.when(F.size("run") < SEED, F.xxhash64(*part)).otherwise(F.xxhash64(*part, F.try_element_at("run", F.lit(SEED))))
+    return runs.select("item_id", seed.alias("seed")).distinct()
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -261,25 +315,25 @@ def item_words(items: DataFrame) -> DataFrame:
     return once.mapInPandas(run, f"item_id {items.schema['item_id'].dataType.simpleString()}, item_words ARRAY<STRING>")
 
 
-def candidates(pages: DataFrame, items: DataFrame, seeds: int) -> DataFrame:
-    """doc_id, item_id: pairs with at least `seeds` different seeds in common."""
-    theirs = items.select("item_id", F.explode(_seeds(F.col("item_words"))).alias("seed"))
+def candidates(pages: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id: pairs with a seed in common."""
+    theirs = materialise(_item_seeds(items), "item-seeds")
     if theirs.count() <= BROADCAST_SEEDS:
         theirs = F.broadcast(theirs)
     ours = pages.select("doc_id", F.explode(_seeds(F.col("words"))).alias("seed"))
-    return ours.join(theirs, "seed").groupBy("doc_id", "item_id").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= seeds).select("doc_id", "item_id")
+    return ours.join(theirs, "seed").select("doc_id", "item_id").distinct()
 
 
 def leaks(pages: DataFrame, items: DataFrame, least: int = LEAST, misread: float = MISREAD) -> DataFrame:
     """doc_id, item_id, longest, coverage of pairs whose longest passage has at least `least` words.
 
-    pages: doc_id, words, opens; items: item_id, item_words. `least` right or misread words hold at least two seeds
-    unless misread words are spread so that hardly three right ones follow each other.
+    pages: doc_id, words; items: item_id, item_words. Of 15 words with three misread, three right ones follow each other
+    somewhere; `item_runs` has every form in which a page may hold these, so one seed is asked for.
     """
-    pairs = materialise(candidates(pages, items, 2), "leak-candidates")
+    pairs = materialise(candidates(pages, items), "leak-candidates")
     # the words of pages travel for this join, so only those of candidates
     met = materialise(pairs.select("doc_id").distinct(), "candidate-pages")
-    full = pairs.join(pages.join(met, "doc_id", "left_semi"), "doc_id").join(items, "item_id").select("doc_id", "item_id", "words", "opens", "item_words")
+    full = pairs.join(pages.join(met, "doc_id", "left_semi"), "doc_id").join(items, "item_id").select("doc_id", "item_id", "words", "item_words")
     types = ", ".join(f"{k} {full.schema[k].dataType.simpleString()}" for k in ("doc_id", "item_id"))
     judged = full.mapInPandas(lambda b: _judge(least, misread, b), f"{types}, longest INT, coverage DOUBLE")
     return judged.where(F.col("longest") >= least)

@@ -111,3 +111,14 @@ def test_misread_words_at_either_end_count():
         found = L.tiles([numbers[w] for w in item], [numbers[w] for w in page])
         assert L.longest_passage(item, page, found) == 15
     assert L._window([1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0, 1, 1], L.MISREAD) < 15
+
+
+def test_cut_and_glued_words_between_misread_ones_keep_a_pair(spark):
+    item = words(random.Random(12), 15)
+    wrong = {k: item[k][:-1] + "~" for k in (3, 7, 11)}
+    cut = lambda at: [p for k, w in enumerate(item) for p in ([wrong[k]] if k in wrong else [w[:3], w[3:]] if k in at else [w])]
+    glued = [p for k, w in enumerate(item) for p in ([] if k in (1, 5, 9, 13) else [wrong[k]] if k in wrong else [w + item[k + 1]] if k in (0, 4, 8, 12) else [w])]
+    rows = [(1, cut((1, 5, 9, 13))), (2, cut((1, 5, 9))), (3, cut(range(15))), (4, glued), (5, cut(())), (6, item[:14])]
+    pages = spark.createDataFrame(rows, "doc_id BIGINT, words ARRAY<STRING>")
+    items = spark.createDataFrame([(1, item)], "item_id BIGINT, item_words ARRAY<STRING>")
+    assert {r["doc_id"]: r["longest"] for r in L.leaks(pages, items).collect()} == {k: 15 for k in (1, 2, 3, 4, 5)}
