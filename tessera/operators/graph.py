@@ -93,17 +93,24 @@ def cycles(edges: DataFrame, longest: int) -> DataFrame:
     return found
 
 
-def depths(edges: DataFrame, most: int) -> DataFrame:
-    """id, depth: length of the longest chain from a node without incoming edge; chains on cycles are cut at `most`."""
-    live = edges.where("src <> dst").select("src", "dst").distinct()
+def depths(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """id, depth: length of the longest chain from a node without incoming edge.
+
+    Each round raises nodes to a greater depth, one row per node; without cycles the rounds end by themselves. Chains on
+    cycles are cut at `most`, or at the number of nodes.
+    """
+    live = materialise(edges.where("src <> dst").select("src", "dst").distinct(), "live")
+    nodes = live.select(F.col("src").alias("id")).union(live.select(F.col("dst").alias("id"))).distinct()
     roots = live.select(F.col("src").alias("id")).distinct().join(live.select(F.col("dst").alias("id")), "id", "left_anti")
     level = materialise(roots.withColumn("depth", F.lit(0)), "depth")
     out = level
-    for k in range(1, most + 1):
+    for k in range(1, (nodes.count() if most is None else most) + 1):
         level = materialise(level.join(live, level["id"] == live["src"]).select(F.col("dst").alias("id")).distinct().withColumn("depth", F.lit(k)), "depth")
         if level.isEmpty():
             break
         out = out.unionByName(level)
+        if k % 16 == 0:
+            out = materialise(out.groupBy("id").agg(F.max("depth").alias("depth")), "depth")
     return out.groupBy("id").agg(F.max("depth").alias("depth"))
 
 

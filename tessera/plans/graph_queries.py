@@ -144,8 +144,8 @@ def import_cycles(spark: SparkSession, d: str, before: str | None = R.SPARSE) ->
 
 @query(f"""WITH RECURSIVE {R.SPARSE_SQL}, q AS (SELECT src, dst FROM e WHERE src < dst), w AS (SELECT DISTINCT src AS id, 0 AS depth FROM q WHERE src NOT IN (SELECT dst FROM q) UNION SELECT q.dst, w.depth + 1 FROM w JOIN q ON q.src = w.id WHERE w.depth < 40) SELECT id, max(depth) AS depth FROM w GROUP BY 1""")
 def import_depth(spark: SparkSession, d: str, before: str | None = R.SPARSE) -> DataFrame:
-    """Longest chains of calls to later definitions (a graph without cycles), of up to 40 calls."""
-    return graph.depths(R.sparse_edges(spark, d, before).where("src < dst"), 40)
+    """Longest chains of calls to later definitions (a graph without cycles)."""
+    return graph.depths(R.sparse_edges(spark, d, before).where("src < dst"))
 
 
 @query(f"WITH {R.SPARSE_SQL}, d AS (SELECT src AS id, count(*) AS k FROM e GROUP BY 1), i AS (SELECT dst AS id, count(*) AS k FROM e GROUP BY 1) SELECT 'out' AS way, id, k AS degree FROM (SELECT * FROM d ORDER BY k DESC, id LIMIT 10) UNION ALL SELECT 'in', id, k FROM (SELECT * FROM i ORDER BY k DESC, id LIMIT 10)")

@@ -69,6 +69,12 @@ def test_cycles_of_the_fixture_and_longer_ones(spark):
     assert found([(3, 1), (1, 2), (2, 3), (2, 1), (3, 4), (4, 3), (5, 5)], 4) == {(1, 2), (1, 2, 3), (3, 4)}
 
 
+def test_long_chains_are_not_cut(spark):
+    pairs = [(i, i + 1) for i in range(45)] + [(0, 30), (50, 44)]
+    assert {r["id"]: r["depth"] for r in G.depths(edges(spark, pairs)).collect()} == {**{i: i for i in range(46)}, 50: 0}
+    assert max(r["depth"] for r in G.depths(edges(spark, [(0, 1), (1, 2), (2, 1)])).collect()) == 3
+
+
 def test_shortest_paths_to_targets(spark):
     p = [(1, 2), (2, 3), (1, 4), (4, 3), (3, 5), (5, 1)]
     got = {(r["root"], r["target"]): r["path"] for r in G.reach_paths(edges(spark, p), ids(spark, [1]), ids(spark, [3, 5, 1]), 3).collect()}
