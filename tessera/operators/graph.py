@@ -93,6 +93,32 @@ def cycles(edges: DataFrame, longest: int) -> DataFrame:
     return found
 
 
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """id, component, size: every node that lies on a cycle of any length, its strongly connected component by the least
+    id in it, and the component's number of nodes. Edges from a node to itself are no cycle.
+
+    Pairs of nodes that reach each other, by doubling on the trimmed graph: as many rows as pairs that reach.
+    """
+    live = edges.where("src <> dst").select("src", "dst").distinct()
+    count = None
+    while count != 0:
+        live = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        live = materialise(live, "live")
+        n = live.count()
+        if n == count:
+            break
+        count = n
+    reach, n = live, live.count()
+    while n:
+        longer = reach.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("_to")), "dst").select("src", F.col("_to").alias("dst"))
+        reach = materialise(reach.union(longer).distinct(), "reach")
+        if (count := reach.count()) == n:
+            break
+        n = count
+    mutual = reach.join(reach.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
+    return mutual.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("component"), F.count("*").alias("size"))
+
+
 def depths(edges: DataFrame, most: int | None = None) -> DataFrame:
     """id, depth: length of the longest chain from a node without incoming edge.
 

@@ -142,6 +142,12 @@ def import_cycles(spark: SparkSession, d: str, before: str | None = R.SPARSE) ->
     return graph.cycles(R.package_edges(spark, d, before), 3)
 
 
+@query()
+def import_cycle_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every package on an import cycle of any length; `import_cycles` prints the cycles of two and three of them."""
+    return graph.on_cycles(R.package_edges(spark, d, None))
+
+
 @query(f"""WITH RECURSIVE {R.SPARSE_SQL}, q AS (SELECT src, dst FROM e WHERE src < dst), w AS (SELECT DISTINCT src AS id, 0 AS depth FROM q WHERE src NOT IN (SELECT dst FROM q) UNION SELECT q.dst, w.depth + 1 FROM w JOIN q ON q.src = w.id WHERE w.depth < 40) SELECT id, max(depth) AS depth FROM w GROUP BY 1""")
 def import_depth(spark: SparkSession, d: str, before: str | None = R.SPARSE) -> DataFrame:
     """Longest chains of calls to later definitions (a graph without cycles)."""

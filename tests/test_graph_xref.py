@@ -69,6 +69,13 @@ def test_cycles_of_the_fixture_and_longer_ones(spark):
     assert found([(3, 1), (1, 2), (2, 3), (2, 1), (3, 4), (4, 3), (5, 5)], 4) == {(1, 2), (1, 2, 3), (3, 4)}
 
 
+def test_members_of_cycles_of_any_length(spark):
+    found = lambda p: {(r["id"], r["component"], r["size"]) for r in G.on_cycles(edges(spark, p)).collect()}
+    four = [(1, 2), (2, 3), (3, 4), (4, 1)]
+    assert found([*four, (4, 5), (5, 6), (6, 7), (7, 6), (8, 1), (9, 9)]) == {(k, 1, 4) for k in (1, 2, 3, 4)} | {(6, 6, 2), (7, 6, 2)}
+    assert found([(1, 2), (2, 3), (1, 3)]) == set()
+
+
 def test_long_chains_are_not_cut(spark):
     pairs = [(i, i + 1) for i in range(45)] + [(0, 30), (50, 44)]
     assert {r["id"]: r["depth"] for r in G.depths(edges(spark, pairs)).collect()} == {**{i: i for i in range(46)}, 50: 0}
