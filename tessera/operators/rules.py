@@ -103,10 +103,10 @@ def feature_envy(calls: DataFrame) -> DataFrame:
     return away.select("caller_id", "package", F.col("callee_package").alias("target"), "calls", F.coalesce("own", F.lit(0)).alias("own")).where("calls > own")
 
 
-def unstable_dependencies(package_edges: DataFrame, coupling: DataFrame) -> DataFrame:
-    """src, dst: stable packages (instability below 0.3) that depend on unstable ones (above 0.7)."""
-    a = coupling.where("instability < 0.3").select(F.col("package").alias("src"))
-    b = coupling.where("instability > 0.7").select(F.col("package").alias("dst"))
+def unstable_dependencies(package_edges: DataFrame, coupling: DataFrame, stable: float = 0.3, unstable: float = 0.7) -> DataFrame:
+    """src, dst: stable packages (instability below `stable`) that depend on unstable ones (above `unstable`)."""
+    a = coupling.where(F.col("instability") < stable).select(F.col("package").alias("src"))
+    b = coupling.where(F.col("instability") > unstable).select(F.col("package").alias("dst"))
     return package_edges.where("src <> dst").select("src", "dst").distinct().join(a, "src", "left_semi").join(b, "dst", "left_semi").select("src", "dst")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialise
+
 CALLABLE = ("function_definition", "method_definition")
 TIERS = ("file", "import", "package", "global")
 
@@ -60,29 +62,71 @@ def resolve(refs: DataFrame, definitions: DataFrame, imports: DataFrame) -> Data
 def call_edges(refs: DataFrame, definitions: DataFrame, imports: DataFrame) -> DataFrame:
     """caller_id, callee_id, resolution, count: refs (file, package, name, caller_id) resolved and counted.
 
-    A single candidate makes an edge; several make edges to all if they are methods with receivers (poly_<tier>).
+    A single candidate makes an edge; several make edges to all if they are methods with receivers (poly_<tier>). Each
+    tier meets the definitions on its own scope and name, so that only names nothing nearer has meet all definitions.
     """
     counted = refs.where("caller_id IS NOT NULL").groupBy("file", "package", "name", "caller_id").agg(F.count("*").alias("k"))
-    found = resolve(refs, definitions, imports).where("n IS NOT NULL")
+    found = materialise(resolve(refs, definitions, imports).where("n = 1 OR (n > 1 AND methods)"), "resolved")
     sure = found.where("n = 1").select("file", "package", "name", F.col("one").alias("callee_id"), F.col("tier").alias("resolution"))
-    many = found.where("n > 1 AND methods").select("file", "package", "name", "tier")
+    many = found.where("n > 1").select("file", "package", "name", "tier")
     defs = definitions.where(F.col("kind").isin(*CALLABLE)).select(F.col("id").alias("callee_id"), F.col("file").alias("_f"), F.col("package").alias("_p"), "name")
-    poly = many.join(defs, "name")
-    linked = imports.select("file", F.col("package").alias("_p")).distinct().withColumn("_linked", F.lit(True))
-    poly = poly.join(linked, ["file", "_p"], "left")
-    inside = F.when(F.col("tier") == "file", F.col("_f") == F.col("file")).when(F.col("tier") == "package", F.col("_p") == F.col("package")).when(F.col("tier") == "import", F.col("_linked").isNotNull()).otherwise(True)
-    poly = poly.where(inside).select("file", "package", "name", "callee_id", F.concat(F.lit("poly_"), "tier").alias("resolution"))
-    met = counted.join(sure.unionByName(poly), ["file", "package", "name"])
+    linked = imports.select("file", F.col("package").alias("_p")).distinct()
+    of = lambda t: many.where(F.col("tier") == t)
+    fans = {
+        "file": of("file").join(defs.drop("_p").withColumnRenamed("_f", "file"), ["file", "name"]),
+        "import": of("import").join(linked, "file").join(defs.drop("_f"), ["_p", "name"]),
+        "package": of("package").join(defs.drop("_f").withColumnRenamed("_p", "package"), ["package", "name"]),
+        "global": of("global").join(defs.drop("_f", "_p"), "name"),
+    }
+    every = sure
+    for tier, fan_out in fans.items():
+        every = every.unionByName(fan_out.select("file", "package", "name", "callee_id", F.lit(f"poly_{tier}").alias("resolution")))
+    met = counted.join(every, ["file", "package", "name"])
     order = {t: i for i, t in enumerate(["file", "poly_file", "import", "poly_import", "package", "poly_package", "global", "poly_global"])}
     rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col("resolution")]
     return met.groupBy("caller_id", "callee_id").agg(F.min_by("resolution", rank).alias("resolution"), F.sum("k").alias("count"))
 
 
 def unresolved(refs: DataFrame, definitions: DataFrame, imports: DataFrame) -> DataFrame:
-    """refs without an edge: reason (no_definition, ambiguous_<tier>) and the number of candidates."""
-    found = resolve(refs, definitions, imports).where("n IS NULL OR (n > 1 AND NOT methods)")
+    """refs without an edge: reason (outside_callable, no_definition, ambiguous_<tier>) and the number of candidates.
+
+    A reference outside of every callable is unresolved whatever it names.
+    """
+    placed = refs.where("caller_id IS NOT NULL")
+    found = resolve(placed, definitions, imports).where("n IS NULL OR (n > 1 AND NOT methods)")
     reason = F.when(F.col("n").isNull(), F.lit("no_definition")).otherwise(F.concat(F.lit("ambiguous_"), "tier"))
-    return refs.join(found.select("file", "package", "name", reason.alias("reason"), F.coalesce("n", F.lit(0)).alias("candidates")), ["file", "package", "name"])
+    named = placed.join(found.select("file", "package", "name", reason.alias("reason"), F.coalesce("n", F.lit(0)).alias("candidates")), ["file", "package", "name"])
+    outside = refs.where("caller_id IS NULL").withColumns({"reason": F.lit("outside_callable"), "candidates": F.lit(0).cast("bigint")})
+    return named.unionByName(outside.select(*named.columns))
+
+
+def call_samples(refs: DataFrame, edges: DataFrame, definitions: DataFrame, most: int = 3) -> DataFrame:
+    """edges with samples: the first `most` references of each, as (file, line, col, name) in their order.
+
+    refs: caller_id, file, line, col, name. A reference belongs to the edges from its caller to definitions of its name.
+    """
+    named = edges.select("caller_id", "callee_id").join(definitions.select(F.col("id").alias("callee_id"), "name"), "callee_id")
+    met = refs.where("caller_id IS NOT NULL").select("caller_id", "file", "line", "col", "name").join(named, ["caller_id", "name"])
+    by = ["caller_id", "callee_id"]
+    few = samples(met, by, ["file", "line", "col", "name"], most)
+    return edges.join(few.select(*by, F.transform("samples", lambda x: F.struct(x["file"], x["line"], x["col"], x["name"])).alias("samples")), by, "left")
+
+
+def edge_order(edges: DataFrame, definitions: DataFrame) -> DataFrame:
+    """edges in the order of the caller's file, line and name, then the callee's."""
+    at = definitions.select("id", "file", "start_line", "name")
+    out = edges
+    for end in ("caller", "callee"):
+        out = out.join(at.select(F.col("id").alias(f"{end}_id"), *(F.col(c).alias(f"_{end}_{c}") for c in ("file", "start_line", "name"))), f"{end}_id", "left")
+    return out.orderBy(*(f"_{end}_{c}" for end in ("caller", "callee") for c in ("file", "start_line", "name"))).select(*edges.columns)
+
+
+def resolution_rate(edges: DataFrame, left: DataFrame) -> DataFrame:
+    """edges, unresolved, rate: distinct edges against edges and unresolved references, 0 where there are neither."""
+    e = edges.agg(F.count("*").alias("edges")).withColumn("_k", F.lit(1))
+    u = left.agg(F.count("*").alias("unresolved")).withColumn("_k", F.lit(1))
+    total = F.col("edges") + F.col("unresolved")
+    return e.join(u, "_k").select("edges", "unresolved", F.when(total > 0, F.col("edges") / total).otherwise(0.0).alias("rate"))
 
 
 def fan(edges: DataFrame) -> DataFrame:
@@ -114,6 +158,22 @@ def local_package(path, module: str | None) -> Column:
     return F.when(p == module, F.lit(".")).when(p.startswith(module + "/"), F.substring(p, len(module) + 2, 1 << 30))
 
 
+def import_scope(imports: DataFrame, packages: DataFrame, module: str | None) -> DataFrame:
+    """file, package: the packages of the index that a file's imports reach.
+
+    imports: file, import (raw text); packages: package. An import that names paths reaches the package of each path. Where
+    none of a file's imports names a path, the words of its imports reach every package with such a word in its path.
+    """
+    t = F.trim("import")
+    rows = imports.where(t != "").select("file", t.alias("import"))
+    is_path = ~F.col("import").rlike(r"\s") | F.col("import").rlike(r"""["'`][^"'`]+["'`]""")
+    paths = rows.where(is_path).select("file", F.explode(import_paths(F.col("import"))).alias("_p"))
+    named = paths.select("file", F.explode(F.array_distinct(F.array(local_package("_p", module), F.col("_p")))).alias("package")).where("package IS NOT NULL")
+    words = rows.where(~is_path).join(paths.select("file").distinct(), "file", "left_anti").select("file", F.explode(import_paths(F.col("import"))).alias("_w")).distinct()
+    parts = packages.select("package").distinct().withColumn("_w", F.explode(F.array_distinct(F.filter(F.split("package", r"[/.:\\]+"), lambda w: w != ""))))
+    return named.unionByName(words.join(parts, "_w").select("file", "package")).distinct()
+
+
 def samples(refs: DataFrame, by: list[str], order: list[str], most: int = 3) -> DataFrame:
     """by, samples: the first rows of each group in order. Ranked, not collected, so a large group stays spread."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -202,11 +202,11 @@ def type_metrics(spark: SparkSession, d: str) -> DataFrame:
   k AS (SELECT package, count(*) FILTER (WHERE kind = 'method_definition') AS i, count(*) AS t FROM defs GROUP BY 1),
   m AS (SELECT package, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce, i / t AS abstractness FROM k LEFT JOIN ca USING (package) LEFT JOIN ce USING (package))
   SELECT package, ca, ce, round(CASE WHEN ca + ce > 0 THEN ce / (ca + ce) ELSE 0 END, 6) AS instability, round(abstractness, 6) AS abstractness, round(abs(abstractness + CASE WHEN ca + ce > 0 THEN ce / (ca + ce) ELSE 0 END - 1), 6) AS distance FROM m""")
-def package_coupling(spark: SparkSession, d: str, before: str | None = R.SPARSE) -> DataFrame:
+def package_coupling(spark: SparkSession, d: str) -> DataFrame:
     defs = R.definitions(spark, d)
     # every part is a type here, and the methods stand for the interfaces among them
     kinds = defs.select("package", F.when(F.col("kind") == "method_definition", "interface_type_definition").otherwise("type_definition").alias("kind"))
-    out = metrics.coupling(defs.select("package"), R.package_edges(spark, d, before), kinds)
+    out = metrics.coupling(defs.select("package"), R.package_edges(spark, d), kinds)
     return out.select("package", "ca", "ce", *(F.round(c, 6).alias(c) for c in ("instability", "abstractness", "distance")))
 
 
@@ -326,22 +326,20 @@ def data_clumps(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {R.PACKAGES_SQL}, c AS (SELECT e.src AS caller_id, p.package, q.package AS callee_package, CAST(sum(e.count) AS BIGINT) AS calls FROM e JOIN defs p ON p.id = e.src JOIN defs q ON q.id = e.dst GROUP BY 1, 2, 3)
   SELECT c.caller_id, c.package, c.callee_package AS target, c.calls, coalesce(o.calls, 0) AS own FROM c LEFT JOIN c o ON o.caller_id = c.caller_id AND o.callee_package = o.package WHERE c.package <> c.callee_package AND c.calls > coalesce(o.calls, 0)""")
-def feature_envy(spark: SparkSession, d: str, before: str | None = R.SPARSE) -> DataFrame:
+def feature_envy(spark: SparkSession, d: str) -> DataFrame:
     defs = R.definitions(spark, d).select("id", "package")
-    e = R.sparse_edges(spark, d, before).join(defs.withColumnRenamed("id", "src"), "src").join(defs.select(F.col("id").alias("dst"), F.col("package").alias("callee_package")), "dst")
+    e = R.edges(spark, d).join(defs.withColumnRenamed("id", "src"), "src").join(defs.select(F.col("id").alias("dst"), F.col("package").alias("callee_package")), "dst")
     return rules.feature_envy(e.select(F.col("src").alias("caller_id"), "package", "callee_package", "count"))
 
 
-@query(f"""WITH {R.PACKAGES_SQL}, o AS (SELECT DISTINCT src, dst FROM pe WHERE src <> dst), ce AS (SELECT src AS p, count(*) AS n FROM o GROUP BY 1), ca AS (SELECT dst AS p, count(*) AS n FROM o GROUP BY 1),
-  x AS (SELECT DISTINCT package, coalesce(ce.n, 0) / nullif(coalesce(ce.n, 0) + coalesce(ca.n, 0), 0) AS i FROM defs LEFT JOIN ce ON ce.p = package LEFT JOIN ca ON ca.p = package)
-  SELECT src, dst FROM o JOIN x a ON a.package = src JOIN x b ON b.package = dst WHERE coalesce(a.i, 0) < 0.5 AND coalesce(b.i, 0) > 0.5""")
-def unstable_dependencies(spark: SparkSession, d: str, before: str | None = R.SPARSE) -> DataFrame:
-    """With the limits at one half: package graphs of these tables are too even for 0.3 and 0.7."""
-    edges = R.package_edges(spark, d, before)
-    defs = R.definitions(spark, d)
-    c = metrics.coupling(defs.select("package"), edges, defs.select("package", "kind"))
-    shifted = c.withColumn("instability", F.when(F.col("instability") < 0.5, 0.0).when(F.col("instability") > 0.5, 1.0).otherwise(0.5))
-    return rules.unstable_dependencies(edges, shifted)
+@query(f"""WITH {R.DEFINITIONS}, {R.EDGES_SQL}, o AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst), ce AS (SELECT src AS p, count(*) AS n FROM o GROUP BY 1), ca AS (SELECT dst AS p, count(*) AS n FROM o GROUP BY 1),
+  x AS (SELECT id, coalesce(ce.n, 0) / nullif(coalesce(ce.n, 0) + coalesce(ca.n, 0), 0) AS i FROM defs LEFT JOIN ce ON ce.p = id LEFT JOIN ca ON ca.p = id)
+  SELECT src, dst FROM o JOIN x a ON a.id = src JOIN x b ON b.id = dst WHERE a.i < 0.4 AND b.i > 0.6""")
+def unstable_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    """Every definition as a package of its own, for the packages call each other too evenly; limits 0.4 and 0.6."""
+    edges = R.edges(spark, d)
+    defs = R.definitions(spark, d).select(F.col("id").alias("package"), "kind")
+    return rules.unstable_dependencies(edges, metrics.coupling(defs.select("package"), edges, defs), 0.4, 0.6)
 
 
 _BOUNDARIES = "module Brand#1\n  deny Brand#2\n  deny Brand#3\nmodule Brand#4\n  allow Brand#4\n  allow Brand#5\n"
@@ -350,9 +348,9 @@ _BOUNDARIES = "module Brand#1\n  deny Brand#2\n  deny Brand#3\nmodule Brand#4\n
 @query(f"""WITH {R.PACKAGES_SQL}, o AS (SELECT DISTINCT src, dst FROM pe WHERE src <> dst)
   SELECT src, dst, 0 AS rule, 'deny' AS type FROM o WHERE src = 'Brand#1' AND dst = 'Brand#2' UNION ALL SELECT src, dst, 1, 'deny' FROM o WHERE src = 'Brand#1' AND dst = 'Brand#3'
   UNION ALL SELECT src, dst, 2, 'allow' FROM o WHERE src = 'Brand#4' AND dst <> 'Brand#4' UNION ALL SELECT src, dst, 3, 'allow' FROM o WHERE src = 'Brand#4' AND dst <> 'Brand#5'""")
-def boundary_check(spark: SparkSession, d: str, before: str | None = R.SPARSE) -> DataFrame:
+def boundary_check(spark: SparkSession, d: str) -> DataFrame:
     parsed = rules.parse_boundaries(_BOUNDARIES.replace("#", "\x00"))
-    return rules.boundary_violations(R.package_edges(spark, d, before), [(n, m.replace("\x00", "#"), k, t.replace("\x00", "#")) for n, m, k, t in parsed])
+    return rules.boundary_violations(R.package_edges(spark, d), [(n, m.replace("\x00", "#"), k, t.replace("\x00", "#")) for n, m, k, t in parsed])
 
 
 _API_RULES = [("logging", "", "io", "high", False, "log"), ("queue_use", "", "io", "high", False, "queue.store queue.flush queue.load"), ("log_and_fold", "", "mix", "low", True, "log window.fold")]

@@ -40,8 +40,8 @@ def first_containing_span(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {R.CALLS_SQL} SELECT file, package, name, tier, n, one, methods FROM res")
-def tiered_resolution(spark: SparkSession, d: str, before: str | None = R.SPARSE) -> DataFrame:
-    return xref.resolve(*R.calls(spark, d, before))
+def tiered_resolution(spark: SparkSession, d: str) -> DataFrame:
+    return xref.resolve(*R.calls(spark, d))
 
 
 _EDGES_SQL = f"""{R.CALLS_SQL}, linked AS (SELECT r.caller_id, k.id AS callee_id, CASE WHEN res.n = 1 THEN res.tier ELSE 'poly_' || res.tier END AS resolution,
@@ -51,23 +51,23 @@ _EDGES_SQL = f"""{R.CALLS_SQL}, linked AS (SELECT r.caller_id, k.id AS callee_id
 
 
 @query(f"WITH {_EDGES_SQL} SELECT * FROM edges")
-def call_edges(spark: SparkSession, d: str, before: str | None = R.SPARSE) -> DataFrame:
-    return xref.call_edges(*R.calls(spark, d, before)).select("caller_id", "callee_id", "resolution", "count")
+def call_edges(spark: SparkSession, d: str) -> DataFrame:
+    return xref.call_edges(*R.calls(spark, d)).select("caller_id", "callee_id", "resolution", "count")
 
 
 @query(f"WITH {R.CALLS_SQL} SELECT CASE WHEN res.n IS NULL THEN 'no_definition' ELSE 'ambiguous_' || res.tier END AS reason, res.n AS candidates, count(*) AS refs FROM refs LEFT JOIN res USING (file, package, name) WHERE res.n IS NULL OR (res.n > 1 AND NOT res.methods) GROUP BY 1, 2")
-def unresolved_calls(spark: SparkSession, d: str, before: str | None = R.SPARSE) -> DataFrame:
-    return xref.unresolved(*R.calls(spark, d, before)).groupBy("reason", "candidates").agg(F.count("*").alias("refs"))
+def unresolved_calls(spark: SparkSession, d: str) -> DataFrame:
+    return xref.unresolved(*R.calls(spark, d)).groupBy("reason", "candidates").agg(F.count("*").alias("refs"))
 
 
 @query(f"WITH {_EDGES_SQL}, a AS (SELECT callee_id AS id, CAST(sum(count) AS BIGINT) AS fan_in FROM edges GROUP BY 1), b AS (SELECT caller_id AS id, CAST(sum(count) AS BIGINT) AS fan_out FROM edges GROUP BY 1) SELECT id, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out FROM a FULL OUTER JOIN b USING (id)")
-def fan_in_out(spark: SparkSession, d: str, before: str | None = R.SPARSE) -> DataFrame:
-    return xref.fan(xref.call_edges(*R.calls(spark, d, before)))
+def fan_in_out(spark: SparkSession, d: str) -> DataFrame:
+    return xref.fan(xref.call_edges(*R.calls(spark, d)))
 
 
-@query(f"WITH {R.DEFINITIONS}, {R.SPARSE_SQL} SELECT id, file, name FROM defs WHERE id NOT IN (SELECT dst FROM e) AND name NOT IN ('main', 'init')")
-def dead_code(spark: SparkSession, d: str, before: str | None = R.SPARSE) -> DataFrame:
-    e = R.sparse_edges(spark, d, before).withColumnRenamed("dst", "callee_id")
+@query(f"WITH {R.DEFINITIONS}, {R.EDGES_SQL} SELECT id, file, name FROM defs WHERE id NOT IN (SELECT dst FROM e) AND name NOT IN ('main', 'init')")
+def dead_code(spark: SparkSession, d: str) -> DataFrame:
+    e = R.edges(spark, d).withColumnRenamed("dst", "callee_id")
     return xref.dead(R.definitions(spark, d), e).select("id", "file", "name")
 
 
@@ -82,55 +82,54 @@ def _roots(spark: SparkSession, d: str) -> DataFrame:
     return R.definitions(spark, d).where("name LIKE 'red %'").select("id")
 
 
-@query(f"WITH RECURSIVE {R.DEFINITIONS}, {R.SPARSE_SQL}, {_bfs(_ROOTS, 2)} SELECT e.src, e.dst, e.count FROM e JOIN n ON n.id = e.src WHERE n.dist < 2")
-def walk_forward(spark: SparkSession, d: str, before: str | None = R.SPARSE) -> DataFrame:
-    e = R.sparse_edges(spark, d, before)
+@query(f"WITH RECURSIVE {R.DEFINITIONS}, {R.EDGES_SQL}, {_bfs(_ROOTS, 2)} SELECT e.src, e.dst, e.count FROM e JOIN n ON n.id = e.src WHERE n.dist < 2")
+def walk_forward(spark: SparkSession, d: str) -> DataFrame:
+    e = R.edges(spark, d)
     return graph.walk_edges(e, graph.distances(e, _roots(spark, d), 2), 2).select("src", "dst", "count")
 
 
-@query(f"WITH RECURSIVE {R.DEFINITIONS}, {R.SPARSE_SQL}, {_bfs(_ROOTS, 2, 'dst', 'src')} SELECT e.src, e.dst, e.count FROM e JOIN n ON n.id = e.dst WHERE n.dist < 2")
-def walk_reverse(spark: SparkSession, d: str, before: str | None = R.SPARSE) -> DataFrame:
-    e = R.sparse_edges(spark, d, before)
+@query(f"WITH RECURSIVE {R.DEFINITIONS}, {R.EDGES_SQL}, {_bfs(_ROOTS, 2, 'dst', 'src')} SELECT e.src, e.dst, e.count FROM e JOIN n ON n.id = e.dst WHERE n.dist < 2")
+def walk_reverse(spark: SparkSession, d: str) -> DataFrame:
+    e = R.edges(spark, d)
     return graph.walk_edges(e, graph.distances(e, _roots(spark, d), 2, reverse=True), 2, reverse=True).select("src", "dst", "count")
 
 
-@query(f"WITH RECURSIVE {R.DEFINITIONS}, {R.SPARSE_SQL}, {_bfs(_ROOTS, 10, 'dst', 'src')} SELECT id, dist, round(1.0 / (dist + 1), 6) AS risk FROM n WHERE dist > 0")
-def impact_distance(spark: SparkSession, d: str, before: str | None = R.SPARSE) -> DataFrame:
-    n = graph.distances(R.sparse_edges(spark, d, before), _roots(spark, d), 10, reverse=True).where("dist > 0")
+@query(f"WITH RECURSIVE {R.DEFINITIONS}, {R.EDGES_SQL}, {_bfs(_ROOTS, 10, 'dst', 'src')} SELECT id, dist, round(1.0 / (dist + 1), 6) AS risk FROM n WHERE dist > 0")
+def impact_distance(spark: SparkSession, d: str) -> DataFrame:
+    n = graph.distances(R.edges(spark, d), _roots(spark, d), 10, reverse=True).where("dist > 0")
     return n.select("id", "dist", F.round(F.lit(1.0) / (F.col("dist") + 1), 6).alias("risk"))
 
 
-@query(f"""WITH RECURSIVE {R.DEFINITIONS}, {R.SPARSE_SQL}, w AS (SELECT id AS test, id, 0 AS dist FROM ({_ROOTS}) UNION SELECT w.test, e.dst, w.dist + 1 FROM w JOIN e ON e.src = w.id WHERE w.dist < 3),
+@query(f"""WITH RECURSIVE {R.DEFINITIONS}, {R.EDGES_SQL}, w AS (SELECT id AS test, id, 0 AS dist FROM ({_ROOTS}) UNION SELECT w.test, e.dst, w.dist + 1 FROM w JOIN e ON e.src = w.id WHERE w.dist < 3),
   m AS (SELECT test, id, min(dist) AS dist FROM w GROUP BY 1, 2), c AS (SELECT id, min(dist) AS dist FROM m WHERE dist > 0 GROUP BY 1)
   SELECT defs.id, CASE WHEN c.dist = 1 THEN 'tested' WHEN c.dist > 1 THEN 'indirectly_tested' ELSE 'untested' END AS coverage FROM defs LEFT JOIN c USING (id) WHERE defs.name NOT LIKE 'red %'""")
-def test_mapping(spark: SparkSession, d: str, before: str | None = R.SPARSE) -> DataFrame:
+def test_mapping(spark: SparkSession, d: str) -> DataFrame:
     """Walks from every test of its own, three calls deep; a function is tested at distance 1, indirectly beyond."""
     tests = _roots(spark, d).withColumn("test", F.col("id"))
-    m = graph.distances(R.sparse_edges(spark, d, before), tests, 3, keys=("test",)).where("dist > 0")
+    m = graph.distances(R.edges(spark, d), tests, 3, keys=("test",)).where("dist > 0")
     best = m.groupBy("id").agg(F.min("dist").alias("dist"))
     state = F.when(F.col("dist") == 1, "tested").when(F.col("dist") > 1, "indirectly_tested").otherwise("untested")
     return R.definitions(spark, d).where("name NOT LIKE 'red %'").join(best, "id", "left").select("id", state.alias("coverage"))
 
 
-@query(f"""WITH RECURSIVE {R.DEFINITIONS}, {R.SPARSE_SQL}, w AS (SELECT id AS root, id, [id] AS path FROM ({_ROOTS}) UNION SELECT w.root, e.dst, w.path || [e.dst] FROM w JOIN e ON e.src = w.id WHERE len(w.path) <= 3),
-  b AS (SELECT root, id, min(len(path)) AS k FROM w GROUP BY 1, 2), x AS (SELECT w.root, w.id, min(w.path) AS path FROM w JOIN b ON b.root = w.root AND b.id = w.id AND len(w.path) = b.k GROUP BY 1, 2)
-  SELECT root, x.id AS target, len(path) AS steps FROM x JOIN defs ON defs.id = x.id AND defs.name LIKE '% ring' WHERE root <> x.id""")
-def reach_targets(spark: SparkSession, d: str, before: str | None = R.SPARSE) -> DataFrame:
+@query(f"""WITH RECURSIVE {R.DEFINITIONS}, {R.EDGES_SQL}, w AS (SELECT id AS root, id, 0 AS k FROM ({_ROOTS}) UNION SELECT w.root, e.dst, w.k + 1 FROM w JOIN e ON e.src = w.id WHERE w.k < 3)
+  SELECT root, w.id AS target, CAST(min(k) + 1 AS BIGINT) AS steps FROM w JOIN defs ON defs.id = w.id AND defs.name LIKE '% ring' WHERE root <> w.id GROUP BY 1, 2""")
+def reach_targets(spark: SparkSession, d: str) -> DataFrame:
     """From each root the capabilities it reaches, with the length of a shortest call path."""
     targets = R.definitions(spark, d).where("name LIKE '% ring'").select("id")
-    found = graph.reach_paths(R.sparse_edges(spark, d, before), _roots(spark, d), targets, 3)
+    found = graph.reach_paths(R.edges(spark, d), _roots(spark, d), targets, 3)
     return found.select("root", "target", F.size("path").cast("bigint").alias("steps"))
 
 
 _LCOM_EDGES = "pe2 AS (SELECT e.src, e.dst, p.package FROM e JOIN defs p ON p.id = e.src JOIN defs q ON q.id = e.dst AND q.package = p.package)"
 
 
-@query(f"""WITH RECURSIVE {R.DEFINITIONS}, {R.SPARSE_SQL}, {_LCOM_EDGES}, u AS (SELECT src AS a, dst AS b FROM pe2 UNION SELECT dst, src FROM pe2), r AS (SELECT id AS v, id AS g FROM defs UNION SELECT u.b, r.g FROM r JOIN u ON u.a = r.v),
+@query(f"""WITH RECURSIVE {R.DEFINITIONS}, {R.EDGES_SQL}, {_LCOM_EDGES}, u AS (SELECT src AS a, dst AS b FROM pe2 UNION SELECT dst, src FROM pe2), r AS (SELECT id AS v, id AS g FROM defs UNION SELECT u.b, r.g FROM r JOIN u ON u.a = r.v),
   c AS (SELECT v, min(g) AS g FROM r GROUP BY 1) SELECT package, count(DISTINCT g) AS lcom, count(*) AS functions FROM c JOIN defs ON defs.id = c.v GROUP BY 1""")
-def cohesion(spark: SparkSession, d: str, before: str | None = R.SPARSE) -> DataFrame:
+def cohesion(spark: SparkSession, d: str) -> DataFrame:
     """Connected components of the calls within each package; functions without such calls count."""
     defs = R.definitions(spark, d).select("id", "package")
-    e = R.sparse_edges(spark, d, before).join(defs.select(F.col("id").alias("src"), F.col("package").alias("p")), "src").join(defs.select(F.col("id").alias("dst"), F.col("package").alias("q")), "dst").where("p = q")
+    e = R.edges(spark, d).join(defs.select(F.col("id").alias("src"), F.col("package").alias("p")), "src").join(defs.select(F.col("id").alias("dst"), F.col("package").alias("q")), "dst").where("p = q")
     c = graph.components(e.select("src", "dst"), defs.select("id"))
     return c.join(defs, "id").groupBy("package").agg(F.countDistinct("component").alias("lcom"), F.count("*").alias("functions"))
 
@@ -138,25 +137,28 @@ def cohesion(spark: SparkSession, d: str, before: str | None = R.SPARSE) -> Data
 @query(f"""WITH {R.PACKAGES_SQL}, o AS (SELECT DISTINCT src, dst FROM pe WHERE src <> dst)
   SELECT [a.src, a.dst] AS cycle, 2 AS length FROM o a JOIN o b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst
   UNION ALL SELECT [a.src, a.dst, b.dst], 3 FROM o a JOIN o b ON b.src = a.dst JOIN o c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst""")
-def import_cycles(spark: SparkSession, d: str, before: str | None = R.SPARSE) -> DataFrame:
-    return graph.cycles(R.package_edges(spark, d, before), 3)
+def import_cycles(spark: SparkSession, d: str) -> DataFrame:
+    return graph.cycles(R.package_edges(spark, d), 3)
 
 
-@query()
+@query(f"""WITH RECURSIVE {R.PACKAGES_SQL}, o AS (SELECT DISTINCT src, dst FROM pe WHERE src <> dst), r AS (SELECT src, dst FROM o UNION SELECT r.src, o.dst FROM r JOIN o ON o.src = r.dst)
+  SELECT a.src AS id, min(a.dst) AS component, count(*) AS size FROM r a JOIN r b ON b.src = a.dst AND b.dst = a.src GROUP BY 1""")
 def import_cycle_members(spark: SparkSession, d: str) -> DataFrame:
     """Every package on an import cycle of any length; `import_cycles` prints the cycles of two and three of them."""
-    return graph.on_cycles(R.package_edges(spark, d, None))
+    return graph.on_cycles(R.package_edges(spark, d))
 
 
-@query(f"""WITH RECURSIVE {R.SPARSE_SQL}, q AS (SELECT src, dst FROM e WHERE src < dst), w AS (SELECT DISTINCT src AS id, 0 AS depth FROM q WHERE src NOT IN (SELECT dst FROM q) UNION SELECT q.dst, w.depth + 1 FROM w JOIN q ON q.src = w.id WHERE w.depth < 40) SELECT id, max(depth) AS depth FROM w GROUP BY 1""")
-def import_depth(spark: SparkSession, d: str, before: str | None = R.SPARSE) -> DataFrame:
-    """Longest chains of calls to later definitions (a graph without cycles)."""
-    return graph.depths(R.sparse_edges(spark, d, before).where("src < dst"))
+@query(f"""WITH RECURSIVE {R.EDGES_SQL}, q AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM e), w AS (SELECT DISTINCT src AS id, 0 AS depth FROM q WHERE src NOT IN (SELECT dst FROM q) UNION SELECT q.dst, w.depth + 1 FROM w JOIN q ON q.src = w.id) SELECT id, max(depth) AS depth FROM w GROUP BY 1""")
+def import_depth(spark: SparkSession, d: str) -> DataFrame:
+    """Longest chains, every call read as a dependency of the later definition on the earlier one: no edge is dropped, and
+    no cycle can come about."""
+    e = R.edges(spark, d).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    return graph.depths(e)
 
 
-@query(f"WITH {R.SPARSE_SQL}, d AS (SELECT src AS id, count(*) AS k FROM e GROUP BY 1), i AS (SELECT dst AS id, count(*) AS k FROM e GROUP BY 1) SELECT 'out' AS way, id, k AS degree FROM (SELECT * FROM d ORDER BY k DESC, id LIMIT 10) UNION ALL SELECT 'in', id, k FROM (SELECT * FROM i ORDER BY k DESC, id LIMIT 10)")
-def dependency_tops(spark: SparkSession, d: str, before: str | None = R.SPARSE) -> DataFrame:
-    e = R.sparse_edges(spark, d, before)
+@query(f"WITH {R.EDGES_SQL}, d AS (SELECT src AS id, count(*) AS k FROM e GROUP BY 1), i AS (SELECT dst AS id, count(*) AS k FROM e GROUP BY 1) SELECT 'out' AS way, id, k AS degree FROM (SELECT * FROM d ORDER BY k DESC, id LIMIT 10) UNION ALL SELECT 'in', id, k FROM (SELECT * FROM i ORDER BY k DESC, id LIMIT 10)")
+def dependency_tops(spark: SparkSession, d: str) -> DataFrame:
+    e = R.edges(spark, d)
     parts = [metrics.top(e.groupBy(F.col(c).alias("id")).agg(F.count("*").alias("degree")), [F.desc("degree"), F.asc("id")], 10).select(F.lit(w).alias("way"), "id", "degree") for w, c in (("out", "src"), ("in", "dst"))]
     return parts[0].unionByName(parts[1])
 

@@ -2,23 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from tessera.plans import code_queries, graph_queries, snapshot_queries
-from tessera.plans.relations import SPARSE
 
 QUERIES = {**snapshot_queries.QUERIES, **code_queries.Q, **graph_queries.Q}
 ORACLE = {**snapshot_queries.ORACLE, **code_queries.SQL, **graph_queries.SQL}
-
-#: Queries whose SQL reads only the lines shipped before SPARSE. NAME_whole is the same query over all lines.
-SPARSE_QUERIES = ["call_edges", "tiered_resolution", "unresolved_calls", "fan_in_out", "dead_code", "walk_forward", "walk_reverse", "impact_distance", "test_mapping", "reach_targets", "cohesion", "import_cycles", "import_depth", "dependency_tops", "package_coupling", "feature_envy", "unstable_dependencies", "boundary_check"]
-
-
-def whole_sql(name: str) -> str:
-    """The SQL of a sparse query without its date."""
-    return ORACLE[name].replace(f"WHERE l_shipdate < TIMESTAMP '{SPARSE}'", "")
-
-
-# recursive SQL lays every walk over the dense graph, so those have none
-ORACLE |= {f"{n}_whole": whole_sql(n) for n in SPARSE_QUERIES if "RECURSIVE" not in ORACLE[n]}
-QUERIES |= {f"{n}_whole": partial(QUERIES[n], before=None) for n in SPARSE_QUERIES}

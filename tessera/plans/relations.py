@@ -1,7 +1,7 @@
 """The relations the registered queries run over, as DataFrames and as the same SQL.
 
 The tables hold an index (files, symbols, imports, metrics) but no references between symbols. Call graphs are therefore
-projected from the order tables: a part is a definition, successive parts of an order are a call.
+projected from the order tables: a part as one supplier has it is a definition, successive ones of an order are a call.
 """
 
 from __future__ import annotations
@@ -63,72 +63,73 @@ FILES = r"""cf AS (SELECT path, r.package AS package, lower(r.language) AS langu
       struct_pack(scan_id := scan_id, listed_at := listed_at)) AS r FROM files WHERE path IS NOT NULL GROUP BY 1))"""
 
 
+#: A definition is a part as one supplier has it; the number of its row in both columns.
+_ID = "l_partkey * 1000000 + l_suppkey"
+
+
 def definitions(spark: SparkSession, d: str) -> DataFrame:
-    """Parts as definitions: id, file, package, name, kind, receiver, start_line."""
+    """Parts by supplier as definitions: id, file, package, name, kind, receiver, start_line."""
     kind = F.when(F.col("p_size") <= 25, "function_definition").otherwise("method_definition")
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_brand", "p_type").alias("file"), F.col("p_brand").alias("package"), F.col("p_name").alias("name"), kind.alias("kind"), F.col("p_type").alias("_t"), F.col("p_size").alias("start_line"))
+    offers = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey", F.expr(_ID).alias("id")).distinct()
+    p = offers.join(table(spark, d, "part"), "p_partkey").select("id", F.concat_ws("/", "p_brand", F.col("l_suppkey").cast("string")).alias("file"), F.col("p_brand").alias("package"), F.col("p_name").alias("name"), kind.alias("kind"), F.col("p_type").alias("_t"), F.col("p_size").alias("start_line"))
     return p.withColumn("receiver", F.when(F.col("kind") == "method_definition", F.col("_t")).otherwise("")).drop("_t")
 
 
-DEFINITIONS = """defs AS (SELECT p_partkey AS id, p_brand || '/' || p_type AS file, p_brand AS package, p_name AS name,
-    CASE WHEN p_size <= 25 THEN 'function_definition' ELSE 'method_definition' END AS kind,
-    CASE WHEN p_size <= 25 THEN '' ELSE p_type END AS receiver, p_size AS start_line FROM part)"""
+DEFINITIONS = f"""defs AS (SELECT id, p_brand || '/' || l_suppkey AS file, p_brand AS package, p_name AS name, CASE WHEN p_size <= 25 THEN 'function_definition' ELSE 'method_definition' END AS kind,
+    CASE WHEN p_size <= 25 THEN '' ELSE p_type END AS receiver, p_size AS start_line FROM (SELECT DISTINCT l_partkey, l_suppkey, {_ID} AS id FROM lineitem) JOIN part ON p_partkey = l_partkey)"""
 
 
 def hops(spark: SparkSession, d: str, before: str | None = None) -> DataFrame:
-    """a, b: successive different parts of an order, with the return flag of the first."""
+    """a, b: successive different offers of an order, with the return flag of the first; of the lines before a date for the
+    drift between two states of the tables."""
     rows = table(spark, d, "lineitem")
     if before:
         rows = rows.where(F.col("l_shipdate") < F.lit(before).cast("timestamp"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
-    return rows.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b"), F.col("l_returnflag").alias("flag")).where("b IS NOT NULL AND a <> b")
+    return rows.select(F.expr(_ID).alias("a"), F.lead(F.expr(_ID)).over(w).alias("b"), F.col("l_returnflag").alias("flag")).where("b IS NOT NULL AND a <> b")
 
 
 def hops_sql(before: str | None = None) -> str:
-    return f"""hops AS (SELECT a, b, flag FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS b,
+    return f"""hops AS (SELECT a, b, flag FROM (SELECT {_ID} AS a, lead({_ID}) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS b,
     l_returnflag AS flag FROM lineitem {f"WHERE l_shipdate < TIMESTAMP '{before}'" if before else ''}) WHERE b IS NOT NULL AND a <> b)"""
 
 
-SPARSE = "1995-07-01"
-
-
-def sparse_edges(spark: SparkSession, d: str, before: str | None = SPARSE) -> DataFrame:
-    """Calls of the lines shipped before a date; of all lines with None."""
-    return hops(spark, d, before).groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count("*").alias("count"))
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    """src, dst, count: the calls between definitions, of all lines."""
+    return hops(spark, d).groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count("*").alias("count"))
 
 
-SPARSE_SQL = hops_sql(SPARSE) + ", e AS (SELECT a AS src, b AS dst, count(*) AS count FROM hops GROUP BY 1, 2)"
+EDGES_SQL = hops_sql() + ", e AS (SELECT a AS src, b AS dst, count(*) AS count FROM hops GROUP BY 1, 2)"
 
 
-def package_edges(spark: SparkSession, d: str, before: str | None = SPARSE) -> DataFrame:
+def package_edges(spark: SparkSession, d: str) -> DataFrame:
     defs = definitions(spark, d).select("id", "package")
-    e = sparse_edges(spark, d, before)
+    e = edges(spark, d)
     return e.join(defs.select(F.col("id").alias("src"), F.col("package").alias("p")), "src").join(defs.select(F.col("id").alias("dst"), F.col("package").alias("q")), "dst").groupBy(F.col("p").alias("src"), F.col("q").alias("dst")).agg(F.sum("count").alias("count"))
 
 
-PACKAGES_SQL = f"{DEFINITIONS}, {SPARSE_SQL}, pe AS (SELECT p.package AS src, q.package AS dst, CAST(sum(count) AS BIGINT) AS count FROM e JOIN defs p ON p.id = e.src JOIN defs q ON q.id = e.dst GROUP BY 1, 2)"
+PACKAGES_SQL = f"{DEFINITIONS}, {EDGES_SQL}, pe AS (SELECT p.package AS src, q.package AS dst, CAST(sum(count) AS BIGINT) AS count FROM e JOIN defs p ON p.id = e.src JOIN defs q ON q.id = e.dst GROUP BY 1, 2)"
 
 
-def calls(spark: SparkSession, d: str, before: str | None = SPARSE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """refs (file, package, name, caller_id), definitions, imports (file, package): names of successive parts as calls."""
+def calls(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """refs (file, package, name, caller_id), definitions, imports (file, package): names of successive offers as calls."""
     defs = definitions(spark, d)
     by_id = defs.select("id", "file", "package", "name")
-    h = hops(spark, d, before)
+    h = hops(spark, d)
     refs = h.join(by_id.select(F.col("id").alias("a"), "file", "package"), "a").join(by_id.select(F.col("id").alias("b"), "name"), "b").select("file", "package", "name", F.col("a").alias("caller_id"))
-    back = hops(spark, d).where("flag = 'R'")
+    back = h.where("flag = 'R'")
     imports = back.join(by_id.select(F.col("id").alias("a"), "file"), "a").join(by_id.select(F.col("id").alias("b"), F.col("package")), "b").select("file", "package").distinct()
     return refs, defs, imports
 
 
-CALLS_SQL = f"""{DEFINITIONS}, {hops_sql(SPARSE)}, {hops_sql().replace('hops AS', 'allhops AS', 1)},
+CALLS_SQL = f"""{DEFINITIONS}, {hops_sql()},
   refs AS (SELECT x.file, x.package, y.name, a AS caller_id FROM hops JOIN defs x ON x.id = a JOIN defs y ON y.id = b),
-  imps AS (SELECT DISTINCT x.file, y.package FROM allhops JOIN defs x ON x.id = a JOIN defs y ON y.id = b WHERE flag = 'R'),
+  imps AS (SELECT DISTINCT x.file, y.package FROM hops JOIN defs x ON x.id = a JOIN defs y ON y.id = b WHERE flag = 'R'),
   keys AS (SELECT DISTINCT file, package, name FROM refs),
   cand AS (SELECT k.*, CASE WHEN d.file = k.file THEN 1 WHEN i.package IS NOT NULL THEN 2 WHEN d.package = k.package THEN 3 ELSE 4 END AS t, d.id, d.kind, d.receiver
     FROM keys k JOIN defs d ON d.name = k.name LEFT JOIN imps i ON i.file = k.file AND i.package = d.package),
   best AS (SELECT file, package, name, min(t) AS tier FROM cand GROUP BY ALL),
-  kept AS (SELECT c.* FROM cand c JOIN best b ON c.file = b.file AND c.package = b.package AND c.name = b.name
-    WHERE c.t = b.tier OR (b.tier = 2 AND EXISTS (SELECT 1 FROM imps i WHERE i.file = c.file AND i.package = (SELECT package FROM defs WHERE id = c.id))) OR (b.tier = 3 AND (SELECT package FROM defs WHERE id = c.id) = c.package)),
+  kept AS (SELECT c.* FROM cand c JOIN best b ON c.file = b.file AND c.package = b.package AND c.name = b.name AND c.t = b.tier),
   res AS (SELECT b.file, b.package, b.name, (['file', 'import', 'package', 'global'])[b.tier] AS tier, count(*) AS n, min(k.id) AS one, bool_and(k.kind = 'method_definition' AND k.receiver <> '') AS methods
     FROM best b JOIN kept k ON k.file = b.file AND k.package = b.package AND k.name = b.name GROUP BY ALL)"""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,13 +32,16 @@ def session(app: str = "tessera", master: str | None = None, **conf: str) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the setting is absent (tests, laptops) a temporary folder of this machine is chosen and
-    remembered for the session.
+    Only where the setting is absent and the session is local (tests, laptops) a temporary folder of this machine is chosen
+    and remembered for the session. On a cluster every executor would write to a disk of its own, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.conf.get("tessera.shared.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("tessera.shared.dir", base)
     return base.rstrip("/")

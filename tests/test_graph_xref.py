@@ -149,3 +149,28 @@ def test_modules_are_inferred_by_majority(spark):
     i = spark.createDataFrame([("r", "ex.com/m/a/b"), ("r", "ex.com/m/c"), ("r", "other.com/c"), ("r", "fmt"), ("q", "z/y")], "repo STRING, import STRING")
     d = spark.createDataFrame([("r", "a/b"), ("r", "c"), ("q", "x")], "repo STRING, dir STRING")
     assert {(r["repo"], r["module"], r["votes"]) for r in X.infer_modules(i, d).collect()} == {("r", "ex.com/m", 2)}
+
+
+def test_references_outside_callables_and_import_words(spark):
+    r, d, i = world(spark, [("1", "x/a.go", "Run", FN, "")], [("z/c.go", "Run", None), ("z/c.go", "Run", "c")])
+    assert [(x["reason"], x["candidates"]) for x in X.unresolved(r, d, i).collect()] == [("outside_callable", 0)]
+    rows = spark.createDataFrame([("a", "use store all"), ("b", "use store all"), ("b", "fmt"), ("c", "m/x"), ("d", " ")], "file STRING, import STRING")
+    got = X.import_scope(rows, spark.createDataFrame([("internal/store",), ("x",)], "package STRING"), "m")
+    assert {(x["file"], x["package"]) for x in got.collect()} == {("a", "internal/store"), ("b", "fmt"), ("c", "x"), ("c", "m/x")}
+
+
+def test_samples_order_and_rate_of_edges(spark):
+    d = spark.createDataFrame([("c", "b.go", "C", 1), ("x", "a.go", "X", 5), ("y", "a.go", "Y", 9)], "id STRING, file STRING, name STRING, start_line INT")
+    e = spark.createDataFrame([("c", "y", 5), ("c", "x", 1), ("x", "y", 1)], "caller_id STRING, callee_id STRING, count INT")
+    assert [(r["caller_id"], r["callee_id"]) for r in X.edge_order(e, d).collect()] == [("x", "y"), ("c", "x"), ("c", "y")]
+    r = spark.createDataFrame([("c", "b.go", n, 1, "Y") for n in (9, 3, 7, 5)] + [("c", "b.go", 4, 2, "X")], "caller_id STRING, file STRING, line INT, col INT, name STRING")
+    got = {(x["caller_id"], x["callee_id"]): [s["line"] for s in x["samples"] or []] for x in X.call_samples(r, e, d).collect()}
+    assert got == {("c", "y"): [3, 5, 7], ("c", "x"): [4], ("x", "y"): []}
+    rate = X.resolution_rate(e, r.limit(1)).first()
+    assert (rate["edges"], rate["unresolved"], rate["rate"]) == (3, 1, 0.75)
+    assert X.resolution_rate(e.limit(0), r.limit(0)).first()["rate"] == 0.0
+
+
+def test_new_cycles(spark):
+    got = G.new_cycles(edges(spark, [(1, 2), (2, 1), (2, 3), (3, 2)]), edges(spark, [(1, 2), (2, 1)]), 3).collect()
+    assert [tuple(r["cycle"]) for r in got] == [(2, 3)]
