@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import importlib
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,13 +43,17 @@ def _encoding(path: str):
 
 
 #: Longest stretch without white space given to the tokenizer at once: its time grows with the square of a word's length.
+#: A longer stretch, and only it, is cut; a cut adds at most one token, as does each end of the stretch.
 _WORD = 20_000
+_LONG = re.compile(r"(\S{%d,})" % (_WORD + 1))
 
 
 def _count(encoding, text: str) -> int:
-    if len(text) > _WORD and max(map(len, text.split()), default=0) > _WORD:
-        return sum(len(encoding.encode_ordinary(text[i : i + _WORD])) for i in range(0, len(text), _WORD))
-    return len(encoding.encode_ordinary(text))
+    n = 0
+    for k, part in enumerate(_LONG.split(text) if len(text) > _WORD else [text]):
+        pieces = [part[i : i + _WORD] for i in range(0, len(part), _WORD)] if k % 2 else [part]
+        n += sum(len(encoding.encode_ordinary(x)) for x in pieces)
+    return n
 
 
 def token_counts(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -72,15 +77,15 @@ def capped_parameter(rate: float, cap: int) -> float:
         return math.inf
 
     def mean(x: float) -> float:
-        p, total, below = math.exp(-x), 0.0, 0.0
+        total = below = 0.0
         for k in range(cap):
+            p = _poisson(x, k)
             total += k * p
             below += p
-            p *= x / (k + 1)
         return total + cap * (1 - below)
 
     low, high = 0.0, 1.0
-    while mean(high) < rate and high < 700:
+    while mean(high) < rate and high < 64.0 * cap + 1024:
         high *= 2
     for _ in range(100):
         mid = (low + high) / 2
@@ -88,15 +93,19 @@ def capped_parameter(rate: float, cap: int) -> float:
     return high
 
 
+def _poisson(x: float, k: int) -> float:
+    """Probability of k, by logarithms: e^-x alone would vanish for a great x."""
+    return math.exp(k * math.log(x) - x - math.lgamma(k + 1)) if x > 0 else float(k == 0)
+
+
 def steps(parameter: float, cap: int) -> list[float]:
     """Distribution function at 0 .. cap - 1: the number of copies is the number of steps not above the draw."""
     if math.isinf(parameter):
         return [0.0] * cap
-    out, p, total = [], math.exp(-parameter), 0.0
+    out, total = [], 0.0
     for k in range(cap):
-        total += p
+        total += _poisson(parameter, k)
         out.append(min(total, 1.0))
-        p *= parameter / (k + 1)
     return out
 
 
@@ -119,7 +128,8 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     for r in rows:
         have, wanted = r["tokens"] or 0, r["target_share"] * all_tokens
         reachable = bool(r["pages"]) and r["max_repeats"] * have >= wanted
-        rate = float(min(wanted / have, r["max_repeats"])) if have else 0.0
+        # pages without a token can be repeated as often as allowed and stay short of any target above 0
+        rate = float(min(wanted / have, r["max_repeats"])) if have else float(r["max_repeats"] if wanted > 0 else 0)
         out.append((r["source"], r["key"], r["target_share"], r["max_repeats"], have, wanted, rate, reachable, steps(capped_parameter(rate, r["max_repeats"]), r["max_repeats"])))
     return spark.createDataFrame(out, "source STRING, key STRING, target_share DOUBLE, max_repeats INT, tokens BIGINT, wanted DOUBLE, rate DOUBLE, reachable BOOLEAN, steps ARRAY<DOUBLE>")
 
@@ -146,3 +156,11 @@ def shares(copies: DataFrame, planned: DataFrame) -> DataFrame:
     met = planned.join(got, "source", "left")
     mixed = F.coalesce("mixed_tokens", F.lit(0))
     return met.select("source", "target_share", "rate", "reachable", mixed.alias("mixed_tokens"), (mixed / F.lit(float(max(all_mixed, 1)))).alias("actual_share"))
+
+
+def short_of_target(copies: DataFrame, planned: DataFrame) -> DataFrame:
+    """source: targets the replicated mix can't reach, as its copies show: every page of the source is in it as often as
+    allowed, and all copies together hold fewer tokens than wanted; or the source has no page at all."""
+    got = copies.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.min("copies").alias("least"))
+    met = planned.join(got, "source", "left")
+    return met.where("least IS NULL OR (least >= max_repeats AND mixed_tokens < wanted)").select("source").distinct()

@@ -81,8 +81,8 @@ def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    planned, _ = _mix(spark, d)
-    return planned.where("NOT reachable").select("source").distinct()
+    planned, copies = _mix(spark, d)
+    return mixing.short_of_target(copies, planned)
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
