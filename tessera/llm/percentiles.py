@@ -288,12 +288,18 @@ def quantiles(sketches: DataFrame, keys: list[str], qs: list[float]) -> DataFram
 
 
 def shares_at(sketches: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """keys, the value in column `at`, n, below, upto (values less than, and less than or equal to it), counted (exact)."""
+    """keys, the value in column `at`, n, below, upto (values less than, and less than or equal to it), counted.
+
+    Every answer is estimated from signed sketches, those of small groups too, so a decision is made alike at every size;
+    counted, which tells exact answers, is false throughout.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for blob, code in zip(b["sketch"], encode(b[at].to_numpy())):
                 s = DyadicSketch.from_bytes(blob)
+                if not s.folded:
+                    s.fold()
                 rows.append((s.n, s.rank(code), s.rank(int(code) + 1), not s.folded))
             got = pd.DataFrame(rows, columns=["n", "below", "upto", "counted"])
             yield pd.concat([b[[*keys, at]].reset_index(drop=True), got], axis=1)
